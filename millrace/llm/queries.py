@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup
-from millrace.session import table
+from millrace.llm import compression_bands, line_dedup, mixing
+from millrace.session import cut_lineage, table
 
 SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = cut_lineage(mixing.measure(table(spark, sf_dir, "documents")))
+    sources = mixing.plan_sources(measured, weights=(5, 2, 1), share=1.5, max_epochs=2.0)
+    mixed = mixing.repeat(measured, sources, mixing.choose(measured, sources))
+    return mixed.select(
+        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken")
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bitmaps = line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1, mode=line_dedup.DROP_ALL)
@@ -26,6 +35,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_bands.judge(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
@@ -42,7 +55,11 @@ FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_line_dedup": op9_line_dedup}
+    return {
+        "op8_source_mixing": op8_source_mixing,
+        "op9_line_dedup": op9_line_dedup,
+        "op10_compression_bands": op10_compression_bands,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
