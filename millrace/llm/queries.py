@@ -7,13 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import compression_bands, line_dedup, mixing
+from millrace.llm import chat, compression_bands, language_id, line_dedup, mixing
+from millrace.llm.text import held_out
 from millrace.session import cut_lineage, table
 
 SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    return chat.read_back(chat.expand(turns.unionByName(extra)), in_order=True)
+
+
+_OP5_TEXT = "coalesce(text, '')"
+_OP5_ESCAPED = rf"length(regexp_replace({_OP5_TEXT}, '(<<|<|\[)(\\*)(/?(?:INST\]|s>|SYS>>|ROLE))', '\1\\\2\3', 'g'))"
+OP5_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT conv_id, coalesce(role, '') AS role, {_OP5_TEXT} AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth,
+         2 + {_OP5_ESCAPED} + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+                              ELSE 14 + 2 * strlen(coalesce(role, '')) END AS n
+  FROM turns
+), placed AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY nth) AS upto,
+         row_number() OVER (PARTITION BY conv_id ORDER BY nth DESC) = 1 AS is_last
+  FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(coalesce(sum(upto) FILTER (WHERE role = 'assistant' OR is_last), 0) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
+def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    profiles = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, profiles).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "distance"
+    )
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut_lineage(mixing.measure(table(spark, sf_dir, "documents")))
     sources = mixing.plan_sources(measured, weights=(5, 2, 1), share=1.5, max_epochs=2.0)
@@ -56,6 +98,8 @@ FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_prefix_targets": op5_prefix_targets,
+        "op6_rank_order_language": op6_rank_order_language,
         "op8_source_mixing": op8_source_mixing,
         "op9_line_dedup": op9_line_dedup,
         "op10_compression_bands": op10_compression_bands,
@@ -63,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op5_prefix_targets": OP5_SQL, "op9_line_dedup": OP9_SQL}
