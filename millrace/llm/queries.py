@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, compression_bands, language_id, line_dedup, mixing
+from millrace.llm import chat, compression_bands, language_id, line_dedup, mixing, quality_trees
 from millrace.llm.text import held_out
 from millrace.session import cut_lineage, table
 
@@ -15,6 +15,13 @@ SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    scored = quality_trees.predict(docs, quality_trees.fit(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -98,6 +105,7 @@ FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality_trees": op4_quality_trees,
         "op5_prefix_targets": op5_prefix_targets,
         "op6_rank_order_language": op6_rank_order_language,
         "op8_source_mixing": op8_source_mixing,
