@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, compression_bands, language_id, line_dedup, mixing, quality_trees
+from millrace.llm import chat, compression_bands, language_id, line_dedup, mixing, quality_trees, simhash
 from millrace.llm.text import held_out
 from millrace.session import cut_lineage, table
 
@@ -15,6 +15,11 @@ SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
@@ -105,6 +110,7 @@ FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_golay_simhash": op3_golay_simhash,
         "op4_quality_trees": op4_quality_trees,
         "op5_prefix_targets": op5_prefix_targets,
         "op6_rank_order_language": op6_rank_order_language,
