@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, compression_bands, language_id, line_dedup, mixing, quality_trees, simhash
+from millrace.llm import chat, compression_bands, decontamination, language_id, line_dedup, mixing, quality_trees, simhash
 from millrace.llm.text import held_out
 from millrace.session import cut_lineage, table
 
@@ -68,6 +68,11 @@ def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut_lineage(mixing.measure(table(spark, sf_dir, "documents")))
     sources = mixing.plan_sources(measured, weights=(5, 2, 1), share=1.5, max_epochs=2.0)
@@ -114,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_trees": op4_quality_trees,
         "op5_prefix_targets": op5_prefix_targets,
         "op6_rank_order_language": op6_rank_order_language,
+        "op7_bm25_decontamination": op7_bm25_decontamination,
         "op8_source_mixing": op8_source_mixing,
         "op9_line_dedup": op9_line_dedup,
         "op10_compression_bands": op10_compression_bands,
