@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, compression_bands, decontamination, language_id, line_dedup, mixing, quality_trees, simhash
+from millrace.llm import chat, compression_bands, decontamination, language_id, line_dedup, mixing, quality_trees, simhash, warc
 from millrace.llm.text import held_out
 from millrace.session import cut_lineage, table
 
@@ -15,6 +15,80 @@ SPACES = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 
+#: The pages table has no capture time; its records carry this one.
+CAPTURED = "2024-01-01T00:00:00Z"
+
+
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.derive(warc.responses(pages, CAPTURED)).withColumnRenamed("key", "page_id")
+
+
+def _op1_sql() -> str:
+    def quoted(text: str) -> str:
+        plain = text.replace("'", "''")
+        return "'" + plain.replace("\r", "'||chr(13)||'").replace("\n", "'||chr(10)||'") + "'"
+
+    def replaced(text: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({text}, {quoted(pattern)}, {quoted(by)}, 'g')"
+
+    def decoded(text: str) -> str:
+        names = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in warc.NAMED.items())
+        ref, whole = (f"regexp_extract(p, {quoted(warc.REFERENCE)}, {i})" for i in (1, 0))
+        code = f"CASE WHEN lower({ref}[2]) = 'x' THEN TRY_CAST('0x' || {ref}[3:] AS BIGINT) ELSE TRY_CAST({ref}[2:] AS BIGINT) END"
+        real = f"({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111"
+        char = f"CASE WHEN {ref}[1] = '#' THEN chr(CAST(CASE WHEN {real} THEN {code} ELSE 65533 END AS INTEGER)) ELSE (MAP {{{names}}})[{ref}] END"
+        piece = f"coalesce(({char}) || p[length({whole}) + 1:], '&' || p)"
+        parts = f"string_split({text}, '&')"
+        return f"{parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: {piece}), '')"
+
+    def urn(text: str) -> str:
+        return f"'<urn:uuid:' || regexp_replace(sha256({text}), '^(.{{8}})(.{{4}}).(.{{3}}).(.{{3}})(.{{12}}).*$', '\\1-\\2-5\\3-8\\4-\\5') || '>'"
+
+    def digest(text: str) -> str:
+        return f"'sha256:' || sha256({text})"
+
+    crlf = "chr(13) || chr(10)"
+    untagged = replaced(replaced(replaced(replaced("body", warc.COMMENT, ""), warc.SILENT, ""), warc.BLOCK_TAG, "\n"), warc.INLINE_TAG, "")
+    squeezed = replaced(replaced(replaced("decoded", warc.SPACES, " "), warc.LINE_ENDS, "\n"), warc.OUTER_SPACE, "")
+    title = "trim(" + replaced(decoded(f"regexp_extract(body, {quoted(warc.TITLE)}, 1)"), "[ \t\r\n\f]+", " ") + ")"
+    link = replaced("replace(l, '&amp;', '&')", "[\r\n]+", "")
+    return f"""
+WITH response AS (
+  SELECT page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS uri, coalesce(html, '') AS body,
+         {urn("'response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), '') || chr(10) || coalesce(url, '')")} AS record_id,
+         'Content-Type: text/html; charset=utf-8' AS h2, 'Content-Length: ' || strlen(coalesce(html, '')) AS h3
+  FROM pages
+), untagged AS (SELECT *, {untagged} AS untagged FROM response
+), decoded AS (SELECT *, {decoded("untagged")} AS decoded FROM untagged
+), parts AS (
+  SELECT page_id, uri, record_id, {squeezed} AS text, {title} AS title, h2, h3,
+         array_to_string(list_transform(regexp_extract_all(body, {quoted(warc.LINK)}, 1), lambda l: 'outlink: ' || {link} || {crlf}), '') AS outlinks,
+         {digest("body")} AS payload_digest,
+         {digest(f"'HTTP/1.1 200 OK' || {crlf} || h2 || {crlf} || h3 || {crlf} || {crlf} || body")} AS block_digest
+  FROM decoded
+), ids AS (
+  SELECT *, {urn("'metadata' || chr(10) || record_id")} AS metadata_id, {urn("'conversion' || chr(10) || record_id")} AS conversion_id
+  FROM parts
+), records AS (
+  SELECT page_id, 'metadata' AS record_type, metadata_id AS record_id, 'application/warc-fields' AS content_type, record_id AS refers_to, uri,
+         'source-record-id: ' || record_id || {crlf} || 'source-payload-digest: ' || payload_digest || {crlf}
+         || 'source-block-digest: ' || block_digest || {crlf} || 'source-header: HTTP/1.1 200 OK' || {crlf} || 'source-header: ' || h2 || {crlf}
+         || 'source-header: ' || h3 || {crlf} || 'conversion-record-id: ' || conversion_id || {crlf}
+         || 'conversion-digest: ' || {digest("text")} || {crlf} || CASE WHEN title <> '' THEN 'title: ' || title || {crlf} ELSE '' END || outlinks AS block
+  FROM ids
+  UNION ALL
+  SELECT page_id, 'conversion', conversion_id, 'text/plain; charset=utf-8', record_id, uri, text FROM ids
+), sized AS (SELECT *, strlen(block) AS content_length, {digest("block")} AS block_digest FROM records)
+SELECT page_id, record_type, record_id, content_type, block, refers_to, uri AS target_uri, content_length, block_digest,
+       'WARC/1.1' || {crlf} || 'WARC-Type: ' || record_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf}
+       || 'WARC-Refers-To: ' || refers_to || {crlf} || coalesce('WARC-Target-URI: ' || uri || {crlf}, '')
+       || 'WARC-Date: {CAPTURED}' || {crlf} || 'WARC-Block-Digest: ' || block_digest || {crlf}
+       || 'Content-Type: ' || content_type || {crlf} || 'Content-Length: ' || content_length || {crlf} AS header
+FROM sized
+"""
+
+
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -115,6 +189,7 @@ FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_derivatives": op1_warc_derivatives,
         "op3_golay_simhash": op3_golay_simhash,
         "op4_quality_trees": op4_quality_trees,
         "op5_prefix_targets": op5_prefix_targets,
@@ -127,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_prefix_targets": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op1_warc_derivatives": _op1_sql(), "op5_prefix_targets": OP5_SQL, "op9_line_dedup": OP9_SQL}
