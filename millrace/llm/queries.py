@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, compression_bands, decontamination, language_id, line_dedup, mixing, quality_trees, simhash, warc
+from millrace.llm import chat, compression_bands, decontamination, language_id, line_dedup, mixing, quality_trees, simhash, token_attribution, warc
 from millrace.llm.text import held_out
 from millrace.session import cut_lineage, table
 
@@ -89,6 +90,12 @@ FROM sized
 """
 
 
+def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return token_attribution.attribute(docs, str(vocabulary), public_tokenizers.PATTERN, fields=("source", "lang", "text"))
+
+
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -190,6 +197,7 @@ FROM keyed LEFT JOIN common USING (key) GROUP BY doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_derivatives": op1_warc_derivatives,
+        "op2_token_attribution": op2_token_attribution,
         "op3_golay_simhash": op3_golay_simhash,
         "op4_quality_trees": op4_quality_trees,
         "op5_prefix_targets": op5_prefix_targets,
