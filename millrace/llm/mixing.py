@@ -66,13 +66,18 @@ def water_fill(sizes: DataFrame, share: float = 1.5, max_epochs: float = 2.0) ->
     return filled.select("source", "source_size", "n_docs", "weight", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
+def id_hash(doc_id: Column) -> Column:
+    """The seeded hash by which a source's documents are ordered."""
+    return F.xxhash64(F.lit(SEED), doc_id)
+
+
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``source, id, size, id_hash`` of every row: all that planning needs of the texts."""
     return docs.select(
         F.col(source_col).alias("source"),
         F.col(id_col).alias("id"),
         word_count(F.col(text_col)).alias("size"),
-        F.xxhash64(F.lit(SEED), F.col(id_col)).alias("id_hash"),
+        id_hash(F.col(id_col)).alias("id_hash"),
     )
 
 
