@@ -130,7 +130,7 @@ def plan_sources(measured: DataFrame, weights: Sequence[float] = (5, 2, 1), shar
             "n_docs",
             "target",
             "whole",
-            F.coalesce("split.bucket", n_buckets).alias("split_bucket"),
+            F.when(F.col("quota") > 0, F.coalesce("split.bucket", n_buckets)).otherwise(-OPEN_BUCKETS).alias("split_bucket"),
             F.coalesce("split.gap", F.lit(0.0)).alias("gap"),
         )
     )
