@@ -21,7 +21,7 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges  # a > b holds in every edge
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("a", "m")
     moved = both.join(least, "a")
     if larger_only:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
