@@ -21,6 +21,8 @@ from millrace.llm.text import line_key
 
 DROP_ALL = "all"
 KEEP_FIRST = "first"
+#: Tasks over which the join back spreads the documents of one common line.
+SALTS = 16
 #: The column that apply_bitmaps() adds.
 RESULT = "line_dedup"
 
@@ -64,9 +66,10 @@ def keep_bitmaps(
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "text_hash", "pos")).alias("first"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "first")
+        .select("h1", "h2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    lost = occurrences.join(common, ["h1", "h2"])
+    salt = F.pmod(F.xxhash64("doc", "text_hash"), F.lit(SALTS)).cast("int")
+    lost = occurrences.withColumn("salt", salt).join(common, ["h1", "h2", "salt"])
     if mode == KEEP_FIRST:
         lost = lost.where(~F.struct("doc", "text_hash", "pos").eqNullSafe(F.col("first")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("pos", F.lit(64)).cast("int"))
