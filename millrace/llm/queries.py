@@ -51,7 +51,7 @@ def _op1_sql() -> str:
 
     crlf = "chr(13) || chr(10)"
     untagged = replaced(replaced(replaced(replaced("body", warc.COMMENT, ""), warc.SILENT, ""), warc.BLOCK_TAG, "\n"), warc.INLINE_TAG, "")
-    squeezed = replaced(replaced(replaced("decoded", warc.SPACES, " "), warc.LINE_ENDS, "\n"), warc.OUTER_SPACE, "")
+    squeezed = "trim(" + replaced(replaced("decoded", warc.SPACES, " "), warc.LINE_ENDS, "\n") + ", ' ' || chr(10))"
     title = "trim(" + replaced(decoded(f"regexp_extract(body, {quoted(warc.TITLE)}, 1)"), "[ \t\r\n\f]+", " ") + ")"
     link = replaced("replace(l, '&amp;', '&')", "[\r\n]+", "")
     return f"""

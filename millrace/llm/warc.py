@@ -28,9 +28,9 @@ CRLF = "\r\n"
 #: What extraction takes out, first to last. They read alike in Java's and RE2's syntax.
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 SILENT = "|".join(
-    rf"<{tag}\b[^>]*>.*?(?:</{tag}[ \t\r\n\f]*>|\z)" for tag in ("script", "style", "noscript", "template", "title")
+    rf"{tag}\b[^>]*>.*?(?:</{tag}[ \t\r\n\f]*>|\z)" for tag in ("script", "style", "noscript", "template", "title")
 )
-SILENT = f"(?is){SILENT}"
+SILENT = f"(?is)<(?:{SILENT})"
 BLOCK_TAG = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|"
     r"h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>"
@@ -39,9 +39,9 @@ INLINE_TAG = r"<[A-Za-z/!?][^>]*(?:>|\z)"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title[ \t\r\n\f]*>"
 LINK = r"""(?i)<a\b[^>]*?\bhref[ \t\r\n\f]*=[ \t\r\n\f]*["']([^"'>]*)["']"""
 REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
+LONGEST_REFERENCE = 32
 SPACES = r"[ \t\x0B\f\r\x{A0}]+"
 LINE_ENDS = r" ?\n[ \n]*"
-OUTER_SPACE = r"^[ \n]+|[ \n]+\z"
 #: Named references, from the standard library's HTML 4 table.
 NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 
@@ -52,34 +52,48 @@ def _character(code: Column) -> Column:
     return F.decode(four_bytes, "UTF-32")
 
 
-def decode_references(text: Column) -> Column:
-    """Character references replaced by their characters, each once."""
+def split_references(text: Column) -> Column:
+    """What stands before the first ``&``, and after each the reference that it begins, if any."""
+    head = F.struct(F.lit("").alias("ref"), F.lit("").alias("rest"))
+    pieces = F.split(text, "&", -1)
+
+    def read(piece: Column) -> Column:
+        found = F.regexp_extract(piece.substr(1, LONGEST_REFERENCE), REFERENCE, 1)
+        return F.struct(found.alias("ref"), piece.alias("rest"))
+
+    return F.when(text.contains("&"), F.transform(pieces, read)).otherwise(
+        F.array(F.struct(head["ref"].alias("ref"), text.alias("rest")))
+    )
+
+
+def join_references(parts: Column) -> Column:
+    """The text of split_references() with its references replaced by their characters, each once."""
     named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
 
-    def decoded(piece: Column) -> Column:
-        whole, ref = F.regexp_extract(piece, REFERENCE, 0), F.regexp_extract(piece, REFERENCE, 1)
-        hexadecimal = F.lower(ref.substr(2, 1)) == "x"
-        number = F.when(hexadecimal, F.conv(ref.substr(F.lit(3), F.length(ref)), 16, 10)).otherwise(
-            ref.substr(F.lit(2), F.length(ref))
+    def decoded(part: Column, i: Column) -> Column:
+        ref, rest = part["ref"], part["rest"]
+        digits = F.when(F.lower(ref.substr(2, 1)) == "x", F.conv(ref.substr(3, 9), 16, 10)).otherwise(ref.substr(2, 9))
+        found = F.when(ref.startswith("#"), _character(digits.try_cast("long"))).otherwise(F.try_element_at(named, ref))
+        after = F.char_length(ref) + 1
+        after = after + (rest.substr(after, F.lit(1)) == ";").cast("int")
+        return F.when(i == 0, rest).when(found.isNull(), F.concat(F.lit("&"), rest)).otherwise(
+            F.concat(found, rest.substr(after, F.char_length(rest)))
         )
-        found = F.when(ref.startswith("#"), _character(number.try_cast("long"))).when(
-            ref != "", F.try_element_at(named, ref)
-        )
-        rest = piece.substr(F.length(whole) + 1, F.length(piece))
-        return F.coalesce(F.concat(found, rest), F.concat(F.lit("&"), piece))
 
-    pieces = F.split(text, "&", -1)
-    changed = F.concat(
-        F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded), "")
-    )
-    return F.when(text.contains("&"), changed).otherwise(text)
+    return F.array_join(F.transform(parts, decoded), "")
 
 
-def plain_text(html: Column) -> Column:
+def untagged(html: Column) -> Column:
     silent = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), SILENT, "")
-    untagged = F.regexp_replace(F.regexp_replace(silent, BLOCK_TAG, "\n"), INLINE_TAG, "")
-    squeezed = F.regexp_replace(F.regexp_replace(decode_references(untagged), SPACES, " "), LINE_ENDS, "\n")
-    return F.regexp_replace(squeezed, OUTER_SPACE, "")
+    return F.regexp_replace(F.regexp_replace(silent, BLOCK_TAG, "\n"), INLINE_TAG, "")
+
+
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, SPACES, " "), LINE_ENDS, "\n"), F.lit(" \n"))
+
+
+def plain_text(html: Column) -> Column:
+    return squeezed(join_references(split_references(untagged(html))))
 
 
 def record_urn(*parts: Column) -> Column:
@@ -120,19 +134,22 @@ def derive(found: DataFrame) -> DataFrame:
     """Two records for each row of responses(): ``key, record_type, record_id, refers_to, target_uri, content_type, content_length, block_digest, header, block``."""
     body = F.coalesce(F.col("body"), F.lit(""))
     uri = F.replace(F.replace(F.col("target_uri"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    title = F.trim(F.regexp_replace(decode_references(F.regexp_extract(body, TITLE, 1)), r"[ \t\r\n\f]+", " "))
+    title = F.trim(F.regexp_replace(join_references(F.col("title")), r"[ \t\r\n\f]+", " "))
     outlinks = F.transform(
         F.regexp_extract_all(body, F.lit(LINK), F.lit(1)),
         lambda link: F.concat(F.lit("outlink: "), F.regexp_replace(F.replace(link, F.lit("&amp;"), F.lit("&")), "[\r\n]+", ""), F.lit(CRLF)),
     )
     http = F.coalesce(F.col("http_headers"), F.lit(""))
-    parts = found.select(
-        "key", "record_id", "date", uri.alias("uri"), http.alias("http"), plain_text(body).alias("text"), title.alias("title"),
-        F.array_join(outlinks, "").alias("outlinks"), _digest(body).alias("payload_digest"),
-        _digest(F.concat(http, F.lit(CRLF), body)).alias("block_digest"),
+    # One projection for each step: an expression that the next step reads twice is still computed once.
+    read = found.select(
+        "key", "record_id", "date", uri.alias("uri"), http.alias("http"), untagged(body).alias("text"),
+        F.regexp_extract(body, TITLE, 1).alias("title"), F.array_join(outlinks, "").alias("outlinks"),
+        _digest(body).alias("payload_digest"), _digest(F.concat(http, F.lit(CRLF), body)).alias("block_digest"),
         record_urn(F.lit("metadata"), F.col("record_id")).alias("metadata_id"),
         record_urn(F.lit("conversion"), F.col("record_id")).alias("conversion_id"),
     )
+    split = read.withColumns({c: split_references(F.col(c)) for c in ("text", "title")})
+    parts = split.withColumns({"text": join_references(F.col("text")), "title": title}).withColumn("text", squeezed(F.col("text")))
     source_headers = F.concat(F.lit("source-header: "), F.regexp_replace(F.regexp_replace("http", "[\r\n]+$", ""), "\r\n", "\r\nsource-header: "), F.lit(CRLF))
     metadata = F.concat(
         _field("source-record-id", F.col("record_id")),
