@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from millrace.plans import (
+    aggregate_queries,
+    corpus_queries,
+    join_queries,
+    scalar_queries,
+    sequence_queries,
+)
+from millrace.plans.book import Query
+
+BOOKS = tuple(
+    module.book
+    for module in (
+        sequence_queries,
+        join_queries,
+        aggregate_queries,
+        scalar_queries,
+        corpus_queries,
+                )
+)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for book in BOOKS for name, query in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}
