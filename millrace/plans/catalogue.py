@@ -5,9 +5,12 @@ from __future__ import annotations
 from millrace.plans import (
     aggregate_queries,
     corpus_queries,
+    harness_queries,
     join_queries,
     scalar_queries,
     sequence_queries,
+    source_queries,
+    state_queries,
 )
 from millrace.plans.book import Query
 
