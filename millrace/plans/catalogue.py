@@ -22,7 +22,10 @@ BOOKS = tuple(
         aggregate_queries,
         scalar_queries,
         corpus_queries,
-                )
+        state_queries,
+        harness_queries,
+        source_queries,
+    )
 )
 
 
