@@ -125,7 +125,7 @@ def test_near_duplicates_equal_brute_force(spark):
         words = bases[i % 6].split()
         for _ in range(rng.randint(0, 5)):
             words[rng.randrange(len(words))] = f"x{rng.randint(0, 99)}"
-        docs.append((i, " ".join(words).upper() if i % 5 == 0 else " ".join(words), f"s{i % 3}"))
+        docs.append((i, " ".join(words).upper() if i % 5 == 0 else " ".join(words), f"s{i // 6 % 3}"))  # each base in every split
     docs += [(100, "short", "s0"), (101, None, "s1"), (102, docs[0][1], "s2")]
 
     def grams(t):
