@@ -94,7 +94,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], names=["key", "fp"])
 
 
-def spanning_links(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def spanning_links(fps: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links that connect all of ``fps`` that links connect, fewer than there are fingerprints.
 
     Grows one component at a time and compares its members with what no component has yet reached, so
@@ -105,7 +105,7 @@ def spanning_links(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         front, todo = todo[:1], todo[1:]
         while len(front) and len(todo):
             some, front = front[:64], front[64:]
-            near = np.bitwise_count(some[:, None] ^ todo[None, :]) <= MAX_BITS
+            near = np.bitwise_count(some[:, None] ^ todo[None, :]) <= max_bits
             reached = near.any(axis=0)
             if reached.any():
                 yield some[near[:, reached].argmax(axis=0)], todo[reached]
@@ -128,7 +128,7 @@ def _handed_on(found: list[tuple[np.ndarray, np.ndarray]], tiles: list[tuple[int
     return pa.RecordBatch.from_arrays(columns, schema=VERIFIED)
 
 
-def _verifier(tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verifier(tile: int, near_of: Callable = spanning_links, max_bits: int = MAX_BITS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Verify each run of one key in rows sorted by key and fingerprint.
 
     A run that may go on in a neighbouring task, or is longer than a tile, is verified tile by tile and
@@ -147,12 +147,12 @@ def _verifier(tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             apart[0] |= shared
             apart[-1] |= ended
             pair = edges[:-1][(lengths == 2) & ~apart]
-            near = np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= MAX_BITS
+            near = np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= max_bits
             found, tiles = [(fps[pair][near], fps[pair + 1][near])], []
             for i in np.flatnonzero((lengths > 2) | apart):
                 for start in range(edges[i], edges[i + 1], tile):
                     run = fps[start : min(start + tile, edges[i + 1])]
-                    found.extend(spanning_links(run))
+                    found.extend(near_of(run))
                     if apart[i]:
                         tiles.append((keys[start], run))
             return _handed_on(found, tiles)
@@ -174,24 +174,31 @@ def _verifier(tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return verify
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for left, right in zip(batch.column(0), batch.column(1), strict=True):
-            both = np.concatenate([np.array(left.values), np.array(right.values)]).view(np.uint64)
-            found = _handed_on(list(spanning_links(both)), [])
-            yield found.select(["a", "b"])
+def _meeting(near_of: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                both = np.concatenate([np.array(left.values), np.array(right.values)]).view(np.uint64)
+                found = _handed_on(list(near_of(both)), [])
+                yield found.select(["a", "b"])
+
+    return meet
 
 
 def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
     """``a, b``: links between distinct fingerprints that connect all that links of at most three bits connect."""
-    keyed = cut_lineage(fps.select("fp").distinct()).mapInArrow(_key_rows, "key long, fp long")
+    return links_of_keys(cut_lineage(fps.select("fp").distinct()).mapInArrow(_key_rows, "key long, fp long"), tile)
+
+
+def links_of_keys(keyed: DataFrame, tile: int = TILE, near_of: Callable = spanning_links, max_bits: int = MAX_BITS) -> DataFrame:
+    """``a, b``: what ``near_of`` links among the fingerprints of each key of ``keyed(key, fp)``."""
     # Ranges of (key, fingerprint) split a hot key over as many tasks as its rows need.
     dealt = keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
-    out = cut_lineage(dealt.mapInArrow(_verifier(tile), VERIFIED_DDL))
+    out = cut_lineage(dealt.mapInArrow(_verifier(tile, near_of, max_bits), VERIFIED_DDL))
     tiles = out.where("key IS NOT NULL").select("key", "tile", F.element_at("tile", 1).alias("first"))
     left = tiles.select("key", F.col("first").alias("i"), F.col("tile").alias("left"))
     right = tiles.select("key", F.col("first").alias("j"), F.col("tile").alias("right"))
-    met = left.join(right, "key").where("i < j").select("left", "right").mapInArrow(_meet, "a long, b long")
+    met = left.join(right, "key").where("i < j").select("left", "right").mapInArrow(_meeting(near_of), "a long, b long")
     return out.where("key IS NULL").select("a", "b").union(met).distinct()
 
 
