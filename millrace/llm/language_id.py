@@ -125,8 +125,12 @@ def fit(docs: DataFrame, size: int = PROFILE_SIZE, text_col: str = "text", lang_
     return Profiles(langs, known, ranks, size)
 
 
-def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lang_pred, score, distance``: the nearest language, how clearly it wins, and its distance from 0 to 1."""
+def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", carry: str = "") -> DataFrame:
+    """``doc_id, lang_pred, score, distance``: the nearest language, how clearly it wins, and its distance from 0 to 1.
+
+    ``carry`` names, with their types, further columns of ``docs`` that the result keeps.
+    """
+    carried = [part.split()[0] for part in carry.split(", ") if part]
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def make() -> Callable[..., dict]:
@@ -140,11 +144,12 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
             score = 1.0 / np.exp(-SHARPNESS * (far - far[nearest])).sum()
             return model.langs[nearest], float(score), float(far[nearest])
 
-        def work(ids: list, texts: list) -> dict:
+        def work(ids: list, texts: list, *others: list) -> dict:
             langs, scores, far = zip(*map(one, texts), strict=True)
-            return {"doc_id": ids, "lang_pred": langs, "score": scores, "distance": far}
+            return {"doc_id": ids, "lang_pred": langs, "score": scores, "distance": far, **dict(zip(carried, others, strict=True))}
 
         return work
 
-    rows = docs.select(F.col(id_col).cast("long"), text_col)
-    return map_slices(rows, make, "doc_id long, lang_pred string, score double, distance double")
+    rows = docs.select(F.col(id_col).cast("long"), text_col, *carried)
+    schema = "doc_id long, lang_pred string, score double, distance double"
+    return map_slices(rows, make, ", ".join([schema, carry] if carry else [schema]))
