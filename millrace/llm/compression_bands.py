@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.batches import map_slices
+from millrace.session import cut_lineage
 
 #: Fixed values of the base rules.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -34,6 +35,10 @@ SCHEMA = (
     "base_failed boolean, kept boolean, whole_ratio double, bad_chunk_share double"
 )
 
+MEASURED = SCHEMA + ", n_bytes long, chunk_sizes array<long>, chunk_ratios array<double>"
+#: Learned upper limits: so much over this quantile of good texts, for each half octave of bytes with so many of them.
+LEARNED_QUANTILE, LEARNED_MARGIN, LEARNED_TEXTS = 0.99, 0.03, 20
+
 
 @dataclass(frozen=True)
 class Bands:
@@ -78,26 +83,20 @@ def repeated_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def ratios(raw: bytes, bands: Bands, compress: Callable[[bytes], bytes]) -> tuple[float, float]:
-    """The whole ratio, and the share of bytes in chunks out of band."""
-    if not raw:
-        return 1.0, 0.0
-    whole = len(compress(raw)) / len(raw)
+def chunk_ratios(raw: bytes, bands: Bands, compress: Callable[[bytes], bytes]) -> tuple[list[int], list[float]]:
+    """Bytes and ratio of each chunk; none of a single chunk, for which the whole band speaks."""
     cuts = list(range(0, len(raw), bands.chunk_bytes))
     if len(cuts) > 1 and len(raw) - cuts[-1] < bands.chunk_bytes // 2:
         cuts.pop()
-    if len(cuts) == 1:
-        return whole, 0.0  # the whole band speaks for a single chunk
-    bad = 0
-    for start, end in zip(cuts, [*cuts[1:], len(raw)], strict=True):
-        ratio = len(compress(raw[start:end])) / (end - start)
-        if not bands.chunk[0] <= ratio <= bands.chunk[1]:
-            bad += end - start
-    return whole, bad / len(raw)
+    if len(cuts) <= 1:
+        return [], []
+    ends = [*cuts[1:], len(raw)]
+    sizes = [end - start for start, end in zip(cuts, ends, strict=True)]
+    return sizes, [len(compress(raw[start:end])) / (end - start) for start, end in zip(cuts, ends, strict=True)]
 
 
-def judge(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of base counts, ratios and verdicts for each row of ``docs``."""
+def measure(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """judge() with ``n_bytes, chunk_sizes, chunk_ratios`` added."""
 
     def make() -> Callable[..., dict]:
         compress = zstandard.ZstdCompressor(level=bands.level).compress
@@ -109,17 +108,73 @@ def judge(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_
             lines = [line for line in text.split("\n") if line.strip(ASCII_SPACE)]
             again = repeated_words(words)
             failed = n < MIN_WORDS or 100 * again > MAX_REPEATED_PERCENT * n
-            whole, bad = ratios(raw, bands, compress)
+            whole = len(compress(raw)) / len(raw) if raw else 1.0
+            sizes, parts = chunk_ratios(raw, bands, compress)
+            out = [size for size, ratio in zip(sizes, parts, strict=True) if not bands.chunk[0] <= ratio <= bands.chunk[1]]
+            bad = sum(out) / len(raw) if raw else 0.0
             least, most = bands.limits(len(raw))
             kept = not failed and least <= whole <= most and bad <= bands.max_bad_share
             chars = len(text) - sum(map(text.count, ASCII_SPACE))
-            return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), again, failed, kept, whole, bad
+            return n, chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), again, failed, kept, whole, bad, len(raw), sizes, parts
 
-        names = [part.split()[0] for part in SCHEMA.split(", ")]
+        names = [part.split()[0] for part in MEASURED.split(", ")]
 
         def work(ids: list, texts: list) -> dict:
             return dict(zip(names, [ids, *zip(*(one(text or "") for text in texts), strict=True)], strict=True))
 
         return work
 
-    return map_slices(docs.select(F.col(id_col).cast("long"), text_col), make, SCHEMA)
+    return map_slices(docs.select(F.col(id_col).cast("long"), text_col), make, MEASURED)
+
+
+def judge(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of base counts, ratios and verdicts for each row of ``docs``."""
+    return measure(docs, bands, id_col, text_col).drop("n_bytes", "chunk_sizes", "chunk_ratios")
+
+
+def _length_class(n_bytes: Column) -> Column:
+    return F.floor(2 * F.log2(n_bytes)).cast("int")
+
+
+def learned_limits(good: DataFrame) -> dict[bool, dict[int, float]]:
+    """Upper limits of whole texts (False) and chunks (True) by length class, from measure() of good texts.
+
+    A class of too few texts has the limit of the next shorter one, since longer text compresses better.
+    """
+    good = good.where(~F.col("base_failed"))
+    whole = good.select(F.lit(False).alias("chunk"), _length_class(F.col("n_bytes")).alias("size"), F.col("whole_ratio").alias("ratio"))
+    parts = good.select(F.explode(F.arrays_zip("chunk_sizes", "chunk_ratios")).alias("c"))
+    chunks = parts.select(F.lit(True).alias("chunk"), _length_class(F.col("c.chunk_sizes")).alias("size"), F.col("c.chunk_ratios").alias("ratio"))
+    high = F.percentile_approx("ratio", F.lit(LEARNED_QUANTILE), F.lit(10_000)).alias("high")
+    rows = whole.union(chunks).groupBy("chunk", "size").agg(high, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARNED_TEXTS)
+    found = {(r["chunk"], r["size"]): r["high"] + LEARNED_MARGIN for r in rows.collect()}
+    limits: dict[bool, dict[int, float]] = {False: {}, True: {}}
+    for chunk, by_class in limits.items():
+        last = None
+        for size in range(64):
+            last = found.get((chunk, size), last)
+            if last is not None:
+                by_class[size] = last
+    return limits
+
+
+def judge_learned(docs: DataFrame, labels: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """judge() whose upper limits are also held to what texts of label quality 1 reach at each length."""
+    measured = cut_lineage(measure(docs, bands))
+    limits = learned_limits(measured.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
+
+    def most(chunk: bool, n_bytes: Column) -> Column:
+        if not limits[chunk]:
+            return F.lit(float("inf"))
+        known = F.create_map(*(F.lit(x) for pair in limits[chunk].items() for x in pair))
+        return F.coalesce(F.try_element_at(known, _length_class(n_bytes)), F.lit(float("inf")))
+
+    def bad_bytes(size: Column, ratio: Column) -> Column:
+        good = ratio.between(F.lit(bands.chunk[0]), F.least(F.lit(bands.chunk[1]), most(True, size)))
+        return F.when(good, F.lit(0).cast("long")).otherwise(size)
+
+    bad = F.aggregate(F.zip_with("chunk_sizes", "chunk_ratios", bad_bytes), F.lit(0).cast("long"), lambda a, x: a + x)
+    share = F.when(F.col("n_bytes") > 0, bad / F.col("n_bytes")).otherwise(0.0)
+    in_band = (F.col("whole_ratio") <= most(False, F.col("n_bytes"))) & (share <= bands.max_bad_share)
+    judged = measured.withColumns({"kept": F.col("kept") & in_band, "bad_chunk_share": share})
+    return judged.drop("n_bytes", "chunk_sizes", "chunk_ratios")

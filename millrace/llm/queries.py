@@ -176,7 +176,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compression_bands.judge(table(spark, sf_dir, "documents"))
+    return compression_bands.judge_learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 OP9_SQL = f"""
