@@ -90,10 +90,14 @@ FROM sized
 """
 
 
+def _vocabulary() -> str:
+    """The vocabulary's place on the machine that asks."""
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op2_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return token_attribution.attribute(docs, str(vocabulary), public_tokenizers.PATTERN, fields=("source", "lang", "text"))
+    return token_attribution.attribute(docs, _vocabulary, public_tokenizers.PATTERN, fields=("source", "lang", "text"))
 
 
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ PATH = str(P.path("byte_bpe_50k.tiktoken"))
 
 
 def brute(lengths, section_lengths, rule):
-    """Byte by byte: whose byte is it, and whose token."""
+    """Character by character: whose is it, and of which token."""
     owner = [s for s, n in enumerate(section_lengths) for _ in range(n)]
     counts, crossing, shares = ([0] * len(section_lengths) for _ in range(3))
     at = 0
@@ -27,13 +27,14 @@ def brute(lengths, section_lengths, rule):
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(1, 6), max_size=20), st.data(), st.sampled_from([A.FIRST, A.MAJORITY]))
-def test_allocation_equals_counting_bytes(lengths, data, rule):
+def test_allocation_equals_counting_characters(lengths, data, rule):
     left, sections = sum(lengths), []
     while left:
         sections.append(data.draw(st.integers(0, left)))
         left -= sections[-1]
     sections = sections or [0]
-    got = A.allocate(np.array(lengths, np.int64), np.cumsum(sections), rule)
+    ends = np.cumsum(np.array(lengths, np.int64))
+    got = A.allocate(ends - np.array(lengths, np.int64), ends, np.cumsum(sections), rule)
     for mine, theirs in zip(got, brute(lengths, sections, rule), strict=True):
         assert list(mine) == pytest.approx(theirs)
 
@@ -70,3 +71,23 @@ def test_odd_rows_empty_table_and_wrong_rule(spark, odd_documents, documents):
     assert A.attribute(documents([]), PATH, P.PATTERN).count() == 0
     with pytest.raises(ValueError):
         A.attribute(odd_documents, PATH, P.PATTERN, rule="none")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aé中\U0001f600 \n", max_size=30))
+def test_spans_are_those_of_the_characters_whose_bytes_a_token_holds(text):
+    encoding, token_bytes = A.encoder(PATH, P.PATTERN)
+    tokens = encoding.encode_ordinary(text)
+    starts, ends = A.char_spans(text.encode(), token_bytes[np.array(tokens, np.int64)])
+    owner = [i for i, c in enumerate(text) for _ in c.encode()]
+    at = 0
+    for token, a, b in zip(tokens, starts, ends, strict=True):
+        held = owner[at : at + len(encoding.decode_single_token_bytes(token))]
+        at += len(held)
+        assert (a, b) == (held[0], held[-1] + 1)
+
+
+def test_vocabulary_may_be_found_by_the_task(spark, documents):
+    docs = documents([(1, "one two\nthree")])
+    plain = A.attribute(docs, PATH, P.PATTERN).collect()
+    assert A.attribute(docs, lambda: PATH, P.PATTERN).collect() == plain
