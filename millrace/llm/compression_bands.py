@@ -2,8 +2,9 @@
 
 The ratio is compressed bytes over UTF-8 bytes. Text that repeats itself compresses too well, noise
 hardly at all; both limits move with length, since a frame's fixed cost weighs on short text and long
-text gives the compressor more to refer back to. Chunks find a document whose larger part is out of
-band though its whole is not.
+text gives the compressor more to refer back to. Chunks find a document of which a large part is out of
+band though its whole is not. Fixed bands bound what any text may reach; judge_learned() narrows them, length
+by length, to what texts marked as good reach.
 
 Cases, all defined: a null text has no words, empty lines count as none, and a text of no bytes has
 ratio 1.0 and no chunk. Every row is judged on its own, so repeated rows get equal results and an
@@ -36,8 +37,9 @@ SCHEMA = (
 )
 
 MEASURED = SCHEMA + ", n_bytes long, chunk_sizes array<long>, chunk_ratios array<double>"
-#: Learned upper limits: so much over this quantile of good texts, for each half octave of bytes with so many of them.
-LEARNED_QUANTILE, LEARNED_MARGIN, LEARNED_TEXTS = 0.99, 0.03, 20
+#: Learned limits leave out this part of good texts at either end, and stand so far below and above the rest; they are learned
+#: for each half octave of bytes with so many good texts.
+LEARNED_TAIL, LEARNED_BELOW, LEARNED_ABOVE, LEARNED_TEXTS = 0.001, 0.005, 0.01, 20
 
 
 @dataclass(frozen=True)
@@ -50,8 +52,8 @@ class Bands:
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
-        (0, 0.0, 99.0),
-        (256, 0.30, 1.05),
+        (0, 0.30, 1.05),
+        (256, 0.30, 0.95),
         (512, 0.30, 0.90),
         (1024, 0.27, 0.80),
         (4096, 0.24, 0.70),
@@ -59,7 +61,7 @@ class Bands:
     )
     chunk_bytes: int = 2048
     chunk: tuple[float, float] = (0.20, 0.85)
-    max_bad_share: float = 0.5
+    max_bad_share: float = 0.3
     level: int = 3
 
     def limits(self, n_bytes: int) -> tuple[float, float]:
@@ -136,45 +138,52 @@ def _length_class(n_bytes: Column) -> Column:
     return F.floor(2 * F.log2(n_bytes)).cast("int")
 
 
-def learned_limits(good: DataFrame) -> dict[bool, dict[int, float]]:
-    """Upper limits of whole texts (False) and chunks (True) by length class, from measure() of good texts.
+#: Limits of one kind of piece: (least, most) by length class.
+Limits = dict[int, tuple[float, float]]
 
-    A class of too few texts has the limit of the next shorter one, since longer text compresses better.
+
+def learned_limits(good: DataFrame) -> dict[bool, Limits]:
+    """Limits of whole texts (False) and chunks (True) by length class, from measure() of good texts.
+
+    Longer text compresses better. A class of too few texts therefore has the upper limit of the next shorter
+    class that has enough, and the lower limit of the next longer; where there is none, no limit.
     """
     good = good.where(~F.col("base_failed"))
     whole = good.select(F.lit(False).alias("chunk"), _length_class(F.col("n_bytes")).alias("size"), F.col("whole_ratio").alias("ratio"))
     parts = good.select(F.explode(F.arrays_zip("chunk_sizes", "chunk_ratios")).alias("c"))
     chunks = parts.select(F.lit(True).alias("chunk"), _length_class(F.col("c.chunk_sizes")).alias("size"), F.col("c.chunk_ratios").alias("ratio"))
-    high = F.percentile_approx("ratio", F.lit(LEARNED_QUANTILE), F.lit(10_000)).alias("high")
-    rows = whole.union(chunks).groupBy("chunk", "size").agg(high, F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARNED_TEXTS)
-    found = {(r["chunk"], r["size"]): r["high"] + LEARNED_MARGIN for r in rows.collect()}
-    limits: dict[bool, dict[int, float]] = {False: {}, True: {}}
-    for chunk, by_class in limits.items():
-        last = None
-        for size in range(64):
-            last = found.get((chunk, size), last)
-            if last is not None:
-                by_class[size] = last
+    ends = F.percentile_approx("ratio", F.array(F.lit(LEARNED_TAIL), F.lit(1 - LEARNED_TAIL)), F.lit(10_000)).alias("ends")
+    counted = whole.union(chunks).groupBy("chunk", "size").agg(ends, F.count(F.lit(1)).alias("n"))
+    found = {(r["chunk"], r["size"]): r["ends"] for r in counted.where(F.col("n") >= LEARNED_TEXTS).collect()}
+    limits: dict[bool, Limits] = {}
+    for chunk in (False, True):
+        sizes = sorted(size for of_chunk, size in found if of_chunk == chunk)
+        limits[chunk] = {
+            size: (
+                min((found[chunk, s][0] - LEARNED_BELOW for s in sizes if s >= size), default=0.0),
+                next((found[chunk, s][1] + LEARNED_ABOVE for s in reversed(sizes) if s <= size), float("inf")),
+            )
+            for size in range(64)
+        }
     return limits
 
 
 def judge_learned(docs: DataFrame, labels: DataFrame, bands: Bands = Bands()) -> DataFrame:
-    """judge() whose upper limits are also held to what texts of label quality 1 reach at each length."""
+    """judge() whose limits are also held to what texts of label quality 1 reach at each length."""
     measured = cut_lineage(measure(docs, bands))
     limits = learned_limits(measured.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
 
-    def most(chunk: bool, n_bytes: Column) -> Column:
-        if not limits[chunk]:
-            return F.lit(float("inf"))
-        known = F.create_map(*(F.lit(x) for pair in limits[chunk].items() for x in pair))
-        return F.coalesce(F.try_element_at(known, _length_class(n_bytes)), F.lit(float("inf")))
+    def within(ratio: Column, chunk: bool, n_bytes: Column) -> Column:
+        of_class = F.create_map(*(x for size, ends in limits[chunk].items() for x in (F.lit(size), F.array(*map(F.lit, ends)))))
+        ends = F.try_element_at(of_class, _length_class(n_bytes))
+        return F.coalesce(ratio.between(ends[0], ends[1]), F.lit(True))
 
     def bad_bytes(size: Column, ratio: Column) -> Column:
-        good = ratio.between(F.lit(bands.chunk[0]), F.least(F.lit(bands.chunk[1]), most(True, size)))
+        good = ratio.between(*map(F.lit, bands.chunk)) & within(ratio, True, size)
         return F.when(good, F.lit(0).cast("long")).otherwise(size)
 
     bad = F.aggregate(F.zip_with("chunk_sizes", "chunk_ratios", bad_bytes), F.lit(0).cast("long"), lambda a, x: a + x)
     share = F.when(F.col("n_bytes") > 0, bad / F.col("n_bytes")).otherwise(0.0)
-    in_band = (F.col("whole_ratio") <= most(False, F.col("n_bytes"))) & (share <= bands.max_bad_share)
+    in_band = within(F.col("whole_ratio"), False, F.col("n_bytes")) & (share <= bands.max_bad_share)
     judged = measured.withColumns({"kept": F.col("kept") & in_band, "bad_chunk_share": share})
     return judged.drop("n_bytes", "chunk_sizes", "chunk_ratios")

@@ -50,7 +50,7 @@ def test_bands_reject_repetition_and_noise_and_keep_prose(spark, documents):
 
 def test_limits_by_length():
     bands = C.Bands()
-    assert bands.limits(0) == (0.0, 99.0) and bands.limits(512) == (0.30, 0.90) and bands.limits(10**7) == (0.20, 0.65)
+    assert bands.limits(0) == (0.30, 1.05) and bands.limits(512) == (0.30, 0.90) and bands.limits(10**7) == (0.20, 0.65)
 
 
 def test_empty_table(spark, documents):
