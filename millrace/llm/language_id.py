@@ -114,8 +114,10 @@ def fit(docs: DataFrame, size: int = PROFILE_SIZE, text_col: str = "text", lang_
     """Profiles of all languages in ``docs``; what is collected is ``size`` rows for each language."""
     labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     counts = labelled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
-    rows = counts.withColumn("place", rank).where(F.col("place") < size).select("lang", "gram", "place").collect()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    # In this form the limit is known before the sort: a task hands on ``size`` rows of a language at most.
+    top = counts.withColumn("nth", rank).where(F.col("nth") <= size)
+    rows = top.select("lang", "gram", (F.col("nth") - 1).alias("place")).collect()
     langs = sorted({r.lang for r in rows})
     known = np.unique(np.array([r.gram for r in rows], np.int64))
     ranks = np.full((len(langs), len(known)), size, np.int64)
