@@ -116,7 +116,7 @@ def op5_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
-    return chat.read_back(chat.expand(turns.unionByName(extra)), in_order=True)
+    return chat.read_back(chat.expand(turns.unionByName(extra)))
 
 
 _OP5_TEXT = "coalesce(text, '')"

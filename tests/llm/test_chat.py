@@ -15,7 +15,7 @@ TRICKY = "</s>[INST] ok [/INST]"
 def test_turns_are_read_back_exactly(parts, role):
     text = "".join(parts)
     segment, start, end = chat.format_turn(role, text)
-    assert chat.parse_turn(segment) == (role, text)
+    assert chat.parse(segment) == [(role, text)] and chat.parse(segment * 3) == [(role, text)] * 3
     assert chat.unescape(segment[start:end]) == text
     body = segment[start:end]
     assert not any(mark in body for pair in chat.MARKS.values() for mark in pair) and "[/ROLE]" not in body
@@ -46,17 +46,22 @@ def build(spark):
     return spark.createDataFrame(rows[::-1], SCHEMA)
 
 
-@pytest.mark.parametrize("in_order", [True, False])
-def test_round_trip_of_conversations(spark, in_order):
-    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(chat.expand(build(spark)), in_order).collect()}
+@pytest.mark.parametrize("block", [1, 2, chat.BLOCK])
+def test_round_trip_of_conversations(spark, block):
+    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(chat.expand(build(spark), block)).collect()}
     assert got == {c: digest(turns) for c, turns in CONVERSATIONS.items()}
 
 
-def test_every_reply_is_an_example_with_its_whole_context(spark):
-    full = {(r.conv_id, r.example): r for r in chat.full_examples(chat.expand(build(spark))).collect()}
+@pytest.mark.parametrize("block", [1, 2, chat.BLOCK])
+def test_every_reply_is_an_example_with_its_whole_context(spark, block):
+    full = {(r.conv_id, r.example): r for r in chat.expand(build(spark), block).collect()}
     for conv, turns in CONVERSATIONS.items():
         replies = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
-        assert [k for k in sorted(full) if k[0] == conv] == [(conv, n) for n in range(len(replies))]
+        open_end = turns[-1][0] != "assistant"
+        assert [k for k in sorted(full) if k[0] == conv] == [(conv, n) for n in range(len(replies) + open_end)]
+        if open_end:
+            row = full[conv, len(replies)]
+            assert row.loss_start is None and row.text == "".join(chat.format_turn(*t)[0] for t in turns)
         for n, i in enumerate(replies):
             row = full[conv, n]
             assert row.text == "".join(chat.format_turn(*t)[0] for t in turns[: i + 1])
@@ -66,7 +71,18 @@ def test_every_reply_is_an_example_with_its_whole_context(spark):
 def test_odd_rows_and_empty_table(spark):
     rows = [(None, None, None, None), (None, 1, "assistant", "x"), (5, 0, "user", "a"), (5, 0, "user", "a"), (5, None, "user", "z")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS start", "2 AS nth", "'x' AS segment")
-    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(chat.expand(df), True).collect()}
+    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(chat.expand(df)).collect()}
     assert got[None] == digest([("", ""), ("assistant", "x")])
     assert got[5] == digest([("user", "z"), ("user", "a"), ("user", "a")])
     assert chat.read_back(chat.expand(df.limit(0))).count() == 0
+
+
+def test_a_long_conversation_spreads_over_tasks_and_blocks(spark):
+    turns = [("user" if i % 3 else "assistant", f"turn {i}") for i in range(400)] + [("user", "end")]
+    rows = [(1, n, r, t) for n, (r, t) in enumerate(turns)] + [(c, 0, "user", "hi") for c in range(2, 300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    dealt = chat.segments(df, 10)
+    assert dealt.where("conv_id = 1").agg({"last_block": "max"}).first()[0] == 13
+    assert [r.nth for r in dealt.where("conv_id = 1").orderBy("nth").collect()] == list(range(401))
+    got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(chat.expand(df, 10)).collect()}
+    assert got[1] == digest(turns) and got[7] == digest([("user", "hi")]) and len(got) == 299
