@@ -1,18 +1,22 @@
-"""Benchmark decontamination: a BM25 index of test items, queried by every training passage.
-
-Test items are the indexed side, in slices of a bounded number of postings, each broadcast in turn;
-the training texts stay where they are. A text is cut into windows twice as long as the longest item
-of the slice, each half overlapping the next, so every item that a text holds lies whole in a window.
-Scores are divided by the item's score for itself, so one threshold serves all items.
-
-The index follows block-max WAND: items stand in blocks, and for each term and block the largest weight
-is stored beside the place of its postings. A window's sum of block maxima bounds the score of every
-item in the block; only blocks whose bound reaches the threshold have their postings read. The bound is
-never below a score, so every item above the threshold is retrieved.
-
-What is retrieved is verified by word shingles: of the question's and the answer's together, the window
-must hold a given part; how much it holds of either is returned. The answer is the text's last sentence, or the column given; an item of a single
-sentence has no answer of its own.
+"""Benchmark decontamination: a BM25 index of test items, queried by every training passage with block-max WAND.
+
+Test items are the indexed side, in slices of a bounded number of postings, each broadcast in turn; the
+training texts stay where they are and are read once for each slice. A text is cut into passages twice as
+long as the longest item of the slice, each half overlapping the next, so every item that a text holds lies
+whole in a passage. Scores are divided by the item's score for itself, so one threshold serves all items.
+
+Items are ordered by length and stand in blocks. For each term the index holds its postings by item, its
+largest weight, and one entry for each block in which it occurs: the largest weight there and the place of its
+postings. All of it grows with the postings, nothing with terms times blocks. A passage of which no block can
+reach the threshold, by the sum of its terms' entries, is left at once. The others are searched by WAND: a
+cursor for each term, ordered by item; the pivot is the first item at which the largest weights of the cursors
+up to it could reach the threshold; if the entries of the pivot's block cannot, all those cursors skip the block;
+else they move to the pivot and it is scored. No bound is below a score, so every item above the threshold is
+retrieved.
+
+What is retrieved is verified by word shingles: the passage must hold a given part of the question's and a given
+part of the answer's. The answer is the text's last sentence, or the column given; an item of a single
+sentence has no answer of its own, and an item without a word in its question is verified by its answer.
 
 Cases, all defined: null or empty texts and items hold nothing and match nothing. Items that share an id
 but not the text are each indexed; a pair is returned once for each row of documents. Parts shorter
@@ -22,6 +26,7 @@ than a shingle are one shingle. Empty tables give an empty result. Texts are rea
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -39,30 +44,30 @@ K1, B = 1.2, 0.75
 SHINGLE_WORDS = 5
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Passages whose block bounds are summed at a time.
+PASSAGES = 256
+SLACK = 1e-9
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+NO_RANGE = np.empty(0, np.int64)
 
 
 @dataclass(frozen=True)
 class Rules:
-    """``score`` is the least part of an item's own score, ``overlap`` the least part of its question's and answer's shingles."""
+    """``score`` is the least part of an item's own score, ``question`` and ``answer`` the least parts of their shingles."""
 
     score: float = 0.6
-    overlap: float = 0.8
+    question: float = 0.8
+    answer: float = 0.8
     block_items: int = 8
-    slice_postings: int = 100_000
+    slice_postings: int = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    if not words:
-        return set()
-    return {tuple(words[i : i + SHINGLE_WORDS]) for i in range(max(1, len(words) - SHINGLE_WORDS + 1))}
-
-
 def question_and_answer(text: str, answer: str | None) -> tuple[list[str], list[str]]:
     if answer is not None:
         return words_of(text), words_of(answer)
@@ -72,128 +77,236 @@ def question_and_answer(text: str, answer: str | None) -> tuple[list[str], list[
     return [w for s in sentences[:-1] for w in words_of(s)], words_of(sentences[-1])
 
 
+def shingles(coded: np.ndarray, n: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the runs of ``n`` terms; a run with an unknown term, -1, is left out."""
+    if len(coded) < n or not n:
+        return np.empty(0, np.uint64)
+    count = len(coded) - n + 1
+    mixed, known = np.full(count, n, np.uint64), np.ones(count, bool)
+    for i in range(n):
+        part = coded[i : i + count]
+        known &= part >= 0
+        mixed = (mixed ^ (part + 1).astype(np.uint64)) * MIX
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed[known])
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start up to its end."""
+    counts = ends - starts
+    if not counts.sum():
+        return NO_RANGE
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
+@dataclass(frozen=True)
+class Part:
+    """An item's question or answer: the length of its shingles in words, and their hashes."""
+
+    words: int
+    hashes: np.ndarray
+
+    @classmethod
+    def of(cls, coded: np.ndarray) -> Part:
+        n = min(SHINGLE_WORDS, len(coded))
+        return cls(n, shingles(coded, n))
+
+    def held(self, passage: np.ndarray, seen: dict[int, np.ndarray]) -> float:
+        """How much of it the passage holds; all if there is nothing to hold."""
+        if not self.words:
+            return 1.0
+        if self.words not in seen:
+            seen[self.words] = shingles(passage, self.words)
+        return float(np.isin(self.hashes, seen[self.words]).mean())
+
+
 @dataclass(frozen=True)
 class Index:
-    """A slice of the items. ``blocks[t, b]`` is term t's largest weight in block b, its postings ``places[t, b]`` to ``places[t, b + 1]``."""
+    """A slice of the items. Term t's entries, one for each block, are those from ``entries[t]`` to ``entries[t + 1]``,
+    and entry e's postings those from ``first[e]`` to ``first[e + 1]``."""
 
     terms: dict[str, int]
     largest: np.ndarray
-    blocks: np.ndarray
-    places: np.ndarray
+    entries: np.ndarray
+    block: np.ndarray
+    block_max: np.ndarray
+    first: np.ndarray
     items: np.ndarray
     weights: np.ndarray
     ids: list[int]
-    parts: list[tuple[set, set]]
+    parts: list[tuple[Part, Part]]
     window: int
+    block_items: int
+
+    def open_passages(self, coded: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """The passages of which some block may reach the threshold, with their distinct known terms."""
+        n_blocks = -(-len(self.ids) // self.block_items)
+        for some in range(0, len(starts), PASSAGES):
+            at = slice(some, some + PASSAGES)
+            n = len(starts[at])
+            codes = coded[ranges(starts[at], ends[at])]
+            key = np.unique((np.repeat(np.arange(n), ends[at] - starts[at]) * len(self.largest) + codes)[codes >= 0])
+            passage, term = key // len(self.largest), key % len(self.largest)
+            low, high = self.entries[term], self.entries[term + 1]
+            entry = ranges(low, high)
+            cell = np.repeat(passage, high - low) * n_blocks + self.block[entry]
+            bounds = np.bincount(cell, self.block_max[entry], n * n_blocks).reshape(n, n_blocks)
+            for i in np.flatnonzero(bounds.max(axis=1) >= threshold - SLACK):
+                yield some + int(i), term[passage == i]
 
     def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items of a window's distinct known terms whose score is at least ``threshold``."""
-        open_blocks = np.flatnonzero(self.blocks[terms].sum(axis=0) >= threshold - 1e-4)
-        if not len(open_blocks):
-            return []
-        starts = self.places[terms[:, None], open_blocks].reshape(-1)
-        counts = self.places[terms[:, None], open_blocks + 1].reshape(-1) - starts
-        at = np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
-        items, of = np.unique(self.items[at], return_inverse=True)
-        scores = np.bincount(of, self.weights[at])
-        return [(int(items[i]), float(scores[i])) for i in np.flatnonzero(scores >= threshold - 1e-9)]
+        """All items of a passage's distinct known terms whose score is at least ``threshold``, by block-max WAND."""
+        items, weights, block, block_max, first = (memoryview(a) for a in (self.items, self.weights, self.block, self.block_max, self.first))
+        size, least = self.block_items, threshold - SLACK
+        # A cursor: item, posting, entry, end of entries, largest weight.
+        cursors = []
+        for t in terms.tolist():
+            e = int(self.entries[t])
+            cursors.append([items[first[e]], first[e], e, int(self.entries[t + 1]), float(self.largest[t])])
+
+        def move(cursor: list, item: int) -> bool:
+            """To the first posting at or after ``item``; False if there is none."""
+            cursor[2] = bisect_left(block, item // size, cursor[2], cursor[3])
+            if cursor[2] < cursor[3]:
+                cursor[1] = bisect_left(items, item, first[cursor[2]], first[cursor[2] + 1])
+                if cursor[1] == first[cursor[2] + 1]:
+                    cursor[2] += 1
+            if cursor[2] >= cursor[3]:
+                return False
+            cursor[0] = items[cursor[1]]
+            return True
+
+        found = []
+        while True:
+            cursors.sort()
+            bound, pivot = 0.0, -1
+            for i, cursor in enumerate(cursors):
+                bound += cursor[4]
+                if bound >= least:
+                    pivot = i
+                    break
+            if pivot < 0:
+                return found
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                pivot += 1
+            bound = 0.0
+            for cursor in cursors[: pivot + 1]:
+                e = bisect_left(block, item // size, cursor[2], cursor[3])
+                if e < cursor[3] and block[e] == item // size:
+                    bound += block_max[e]
+            if bound < least:
+                target = (item // size + 1) * size
+                if pivot + 1 < len(cursors):
+                    target = min(target, cursors[pivot + 1][0])
+                moved = cursors[: pivot + 1]
+            elif cursors[0][0] == item:
+                score = sum(weights[c[1]] for c in cursors[: pivot + 1])
+                if score >= least:
+                    found.append((item, score))
+                target, moved = item + 1, cursors[: pivot + 1]
+            else:
+                target, moved = item, [c for c in cursors[:pivot] if c[0] < item]
+            ended = [id(c) for c in moved if not move(c, target)]
+            if ended:
+                cursors = [c for c in cursors if id(c) not in ended]
 
     def pairs(self, text: str | None, rules: Rules) -> Iterator[tuple[int, float, float, float]]:
         words = words_of(text)
         coded = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
-        reach = np.concatenate([[0.0], np.cumsum(np.where(coded >= 0, self.largest[coded], 0.0))])
         starts = np.arange(0, max(1, len(words) - self.window // 2), self.window // 2)
         ends = np.minimum(starts + self.window, len(words))
         best: dict[int, tuple[float, float, float]] = {}
-        for i in np.flatnonzero(reach[ends] - reach[starts] >= rules.score - 1e-6):
-            inside = np.unique(coded[starts[i] : ends[i]])
-            inside = inside[inside >= 0]
-            here: set | None = None
+        for i, inside in self.open_passages(coded, starts, ends, rules.score):
+            passage, seen = coded[starts[i] : ends[i]], {}
             for item, score in self.retrieve(inside, rules.score):
-                if here is None:
-                    passage = words[starts[i] : ends[i]]
-                    here = {tuple(passage[j : j + k]) for k in range(1, SHINGLE_WORDS + 1) for j in range(len(passage) - k + 1)}
-                question, answer = self.parts[item]
-                asked = len(question & here) / len(question)
-                told = len(answer & here) / len(answer) if answer else 1.0
-                held = (asked * len(question) + told * len(answer)) / (len(question) + len(answer))
-                if held >= rules.overlap - 1e-9 and (asked, told, score) > best.get(item, (0.0, 0.0, 0.0)):
-                    best[item] = (asked, told, score)
-        by_id: dict[int, tuple[float, float, float]] = {}
-        for item, row in best.items():
-            by_id[self.ids[item]] = max(row, by_id.get(self.ids[item], row))
-        for item_id, (asked, told, score) in by_id.items():
+                asked, told = (part.held(passage, seen) for part in self.parts[item])
+                row = (asked, told, score)
+                if asked >= rules.question - SLACK and told >= rules.answer - SLACK:
+                    best[self.ids[item]] = max(row, best.get(self.ids[item], row))
+        for item_id, (asked, told, score) in best.items():
             yield item_id, score, asked, told
 
 
-def build(rows: list, item_count: int, mean_words: float, rules: Rules) -> Index:
-    """The index of items given as rows of ``item_id, text, answer, terms[term, tf, df]``."""
-    rows = sorted(rows, key=lambda r: (len(r.terms), r.item_id, r.text))
+def build(items: list[tuple[int, str, str | None]], spread: dict[str, int], item_count: int, mean_words: float, rules: Rules) -> Index:
+    """The index of items (id, text, answer); ``spread`` says in how many of all ``item_count`` items each term occurs."""
+    rows = [(item_id, *question_and_answer(text, answer)) for item_id, text, answer in items]
+    rows.sort(key=lambda r: (len({*r[1], *r[2]}), r))
     terms: dict[str, int] = {}
-    postings: list[tuple[int, int, float]] = []
-    longest = 1
-    for item, row in enumerate(rows):
-        length = sum(t.tf for t in row.terms)
-        longest = max(longest, length)
-        raw = []
-        for t in row.terms:
-            idf = np.log(1 + (item_count - t.df + 0.5) / (t.df + 0.5))
-            raw.append(idf * t.tf * (K1 + 1) / (t.tf + K1 * (1 - B + B * length / mean_words)))
-        own = sum(raw)
-        postings.extend((terms.setdefault(t.term, len(terms)), item, w / own) for t, w in zip(row.terms, raw, strict=True))
-    postings.sort()
-    term, item = (np.array([p[i] for p in postings], np.int64) for i in range(2))
-    weight = np.array([p[2] for p in postings])
-    n_blocks = -(-len(rows) // rules.block_items)
-    cell = term * n_blocks + item // rules.block_items
-    blocks = np.zeros((len(terms), n_blocks))
-    np.maximum.at(blocks.reshape(-1), cell, weight)
-    counts = np.bincount(cell, minlength=len(terms) * n_blocks)
-    upto = np.concatenate([[0], np.cumsum(counts)])
-    places = upto[np.arange(len(terms))[:, None] * n_blocks + np.arange(n_blocks + 1)[None, :]]
-    parts = [tuple(map(shingles, question_and_answer(r.text, r.answer))) for r in rows]
-    small, ids = blocks.astype(np.float32), [r.item_id for r in rows]
-    return Index(terms, blocks.max(axis=1), small, places.astype(np.int32), item, weight, ids, parts, 2 * longest)
+    parts, kept = [], []
+    for question, answer in (r[1:] for r in rows):
+        coded = [np.array([terms.setdefault(w, len(terms)) for w in part], np.int64) for part in (question, answer)]
+        parts.append((Part.of(coded[0]), Part.of(coded[1])))
+        found, tf = np.unique(np.concatenate(coded), return_counts=True)
+        kept.append((found, tf))
+    df = np.array([spread[w] for w in terms], float)
+    idf = np.log(1 + (item_count - df + 0.5) / (df + 0.5))
+    weights = []
+    for found, tf in kept:
+        raw = idf[found] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * tf.sum() / mean_words))
+        weights.append(raw / raw.sum())
+    term = np.concatenate([found for found, _ in kept])
+    item = np.repeat(np.arange(len(kept)), [len(found) for found, _ in kept])
+    weight = np.concatenate(weights)
+    order = np.lexsort((item, term))
+    term, item, weight = term[order], item[order], weight[order]
+    block = item // rules.block_items
+    starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+    entry_max = np.maximum.reduceat(weight, starts)
+    entries = np.searchsorted(term[starts], np.arange(len(terms) + 1))
+    return Index(
+        terms, np.maximum.reduceat(entry_max, entries[:-1]), entries, block[starts], entry_max, np.concatenate([starts, [len(item)]]),
+        item, weight, [r[0] for r in rows], parts, 2 * max(len(q) + len(a) for _, q, a in rows), rules.block_items,
+    )
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts, answers in slices(batches):
+    for keys, texts, answers in slices(batches):
         found = []
-        for item, text, answer in zip(ids, texts, answers, strict=True):
-            words = [w for part in question_and_answer(text, answer) for w in part]
+        for key, text, answer in zip(keys, texts, answers, strict=True):
             counts: dict[str, int] = {}
-            for w in words:
+            for w in (w for part in question_and_answer(text, answer) for w in part):
                 counts[w] = counts.get(w, 0) + 1
-            found.extend((item, text, answer, term, tf) for term, tf in counts.items())
-        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
-        columns = zip(*found, strict=True) if found else [[]] * 5
-        arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["item_id", "text", "answer", "term", "tf"])
+            found.extend((key, term, tf) for term, tf in counts.items())
+        columns = zip(*found, strict=True) if found else [[]] * 3
+        arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["item_key", "term", "tf"])
 
 
 def indexes(items: DataFrame, rules: Rules = Rules(), answer_col: str | None = None) -> Iterator[Index]:
     """The slices of the index, built one at a time; each holds about ``slice_postings`` postings."""
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
-    texts = items.select(F.col("item_id").cast("long"), "text", answer.alias("answer")).where("text IS NOT NULL").distinct()
-    terms = cut_lineage(texts.mapInArrow(_item_terms, "item_id long, text string, answer string, term string, tf long"))
-    spread = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    key = ["item_id", "text", "answer"]
-    listed = cut_lineage(
-        terms.join(spread, "term")
-        .groupBy(*key)
-        .agg(F.array_sort(F.collect_list(F.struct("term", "tf", "df"))).alias("terms"), F.sum("tf").alias("n_words"))
-        .withColumn("in_hash", F.xxhash64(*key))
-    )
-    total = listed.agg(
-        F.count(F.lit(1)).alias("items"), F.avg("n_words").alias("mean"), F.sum(F.size("terms")).alias("postings")
-    ).first()
-    if not total.items:
+    texts = items.select(F.col("item_id").cast("long"), "text", answer.alias("answer"))
+    texts = texts.where(F.coalesce("text", "answer").isNotNull()).withColumn("text", F.coalesce("text", F.lit(""))).distinct()
+    texts = cut_lineage(texts.withColumn("item_key", F.xxhash64("item_id", "text", "answer")))
+    terms = cut_lineage(texts.select("item_key", "text", "answer").mapInArrow(_item_terms, "item_key long, term string, tf long"))
+    total = terms.agg(F.count_distinct("item_key").alias("items"), F.sum("tf").alias("words"), F.count(F.lit(1)).alias("postings")).first()
+    if not total["items"]:
         return
-    n_slices = -(-total.postings // rules.slice_postings)
+    spread = cut_lineage(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    n_slices = -(-total["postings"] // rules.slice_postings)
     for k in range(n_slices):
-        part = listed.where(F.pmod("in_hash", F.lit(n_slices)) == k).collect()
-        if part:
-            yield build(part, total.items, total.mean, rules)
+        here = F.pmod("item_key", F.lit(n_slices)) == k
+        worded = terms.where(here)
+        found = texts.where(here).join(worded.select("item_key").distinct(), "item_key", "left_semi")
+        rows = found.select("item_id", "text", "answer").toArrow().to_pylist()
+        if rows:
+            df = spread.join(worded.select("term").distinct(), "term", "left_semi").toArrow()
+            counts = dict(zip(df["term"].to_pylist(), df["df"].to_pylist(), strict=True))
+            yield build([tuple(r.values()) for r in rows], counts, total["items"], total["words"] / total["items"], rules)
+
+
+def _searcher(shared, rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for ids, texts in slices(batches):
+            out = [(i, *pair) for i, text in zip(ids, texts, strict=True) for pair in index.pairs(text, rules)]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[p.split()[0] for p in PAIRS.split(", ")])
+
+    return search
 
 
 def leaks(
@@ -205,15 +318,5 @@ def leaks(
     found = docs.sparkSession.createDataFrame([], PAIRS)
     for index in indexes(items, rules, answer_col):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = shared.value
-            for ids, texts in slices(batches):
-                out = [(i, *pair) for i, text in zip(ids, texts, strict=True) for pair in held.pairs(text, rules)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                columns = zip(*out, strict=True) if out else [[]] * 5
-                arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[p.split()[0] for p in PAIRS.split(", ")])
-
-        found = found.union(rows.mapInArrow(search, PAIRS))
+        found = found.union(rows.mapInArrow(_searcher(shared, rules), PAIRS))
     return found

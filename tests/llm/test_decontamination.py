@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import decontamination as D
@@ -19,15 +20,20 @@ def noise(rng, n):
     return " ".join(rng.choice(["train", "town", "the", "of", "hours", "miles", "green", "is", "at", *(f"w{i}" for i in range(400))]) for _ in range(n))
 
 
+def shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute(docs, rows, rules=D.Rules()):
-    """Every document against every item: the part of question's and answer's shingles that the whole text holds."""
+    """Every document against every item: the part of the question's and of the answer's shingles that the whole text holds."""
     out = set()
-    for item, text in rows:
-        q, a = (D.shingles(p) for p in D.question_and_answer(text or "", None))
+    for item, text, *answer in rows:
+        q, a = (shingles(p) for p in D.question_and_answer(text or "", answer[0] if answer else None))
         for doc, body in docs:
             words = D.words_of(body)
-            have = {tuple(words[i : i + k]) for k in range(1, 6) for i in range(len(words))}
-            if q | a and (len(q & have) + len(a & have)) >= rules.overlap * (len(q) + len(a)):
+            have = {tuple(words[i : i + k]) for k in range(1, 6) for i in range(len(words) - k + 1)}
+            asked, told = (len(p & have) >= least * len(p) for p, least in ((q, rules.question), (a, rules.answer)))
+            if q | a and asked and told:
                 out.add((doc, item))
     return out
 
@@ -35,38 +41,54 @@ def brute(docs, rows, rules=D.Rules()):
 def test_finds_what_brute_force_finds(spark, documents):
     rng = random.Random(4)
     rows = []
-    for i in range(60):
+    for i in range(80):
         text = noise(rng, rng.choice([0, 5, 200, 900]))
-        for _, item in rng.sample(ITEMS[:2] + ITEMS[5:], rng.randint(0, 2)):
+        for _, item in rng.sample(ITEMS[:2] + ITEMS[4:], rng.randint(0, 3)):
             cut = rng.randint(0, len(text))
             text = f"{text[:cut]} {item.upper() if rng.random() < 0.5 else item} {text[cut:]}"
         rows.append((i, text))
     rows += [(100, ITEMS[0][1][:40]), (101, "What is the capital of the green island north of here?")]
     got = {(r.doc_id, r.item_id) for r in D.leaks(documents(rows), items(spark)).collect()}
-    assert got == {p for p in brute(rows, ITEMS) if p[1] != 5} | {p for p in got if p[1] == 5}
-    assert all(p in brute(rows, ITEMS) for p in got)
-    assert len(got) > 20 and all(p[0] != 100 for p in got)
+    assert got == brute(rows, ITEMS)
+    assert len(got) > 40 and {p[1] for p in got} == {1, 2, 5} and all(p[0] < 100 for p in got)
 
 
 @pytest.mark.parametrize("block", [1, 3, 64])
-def test_block_bounds_lose_no_item(spark, block):
-    """Retrieval by blocks equals scoring every item."""
+def test_wand_loses_no_item_and_scores_as_all_postings_do(spark, block):
     rng = random.Random(block)
-    rows = [(i, noise(rng, 30)) for i in range(40)]
+    rows = [(i, noise(rng, rng.choice([4, 12, 30]))) for i in range(60)]
     rules = D.Rules(block_items=block)
     (index,) = D.indexes(items(spark, rows), rules)
-    for _ in range(40):
-        window = sorted({index.terms[w] for w in D.words_of(noise(rng, 60)) if w in index.terms})
-        scores = {}
-        for t in window:
-            for p in range(index.places[t, 0], index.places[t, -1]):
-                item = int(index.items[p])
-                scores[item] = scores.get(item, 0.0) + index.weights[p]
-        want = {i: s for i, s in scores.items() if s >= 0.3}
-        import numpy as np
-
-        got = dict(index.retrieve(np.array(window), 0.3))
-        assert got == pytest.approx(want)
+    for least in (0.1, 0.3, 0.6):
+        for _ in range(40):
+            words = D.words_of(noise(rng, 60) if rng.random() < 0.7 else rng.choice(rows)[1] + noise(rng, 20))
+            coded = np.array([index.terms.get(w, -1) for w in words])
+            known = np.unique(coded[coded >= 0])
+            scores = {}
+            for t in known:
+                for p in range(index.first[index.entries[t]], index.first[index.entries[t + 1]]):
+                    item = int(index.items[p])
+                    scores[item] = scores.get(item, 0.0) + index.weights[p]
+            want = {i: s for i, s in scores.items() if s >= least - 1e-9}
+            assert dict(index.retrieve(known, least)) == pytest.approx(want)
+            opened = list(index.open_passages(coded, np.array([0]), np.array([len(coded)]), least))
+            assert opened or not want
+            assert all(sorted(terms) == sorted(known) for _, terms in opened)
+
+
+def test_index_grows_with_postings_alone(spark):
+    """No array has more cells than there are postings, whatever the number of terms and blocks."""
+    rows = [(i, " ".join(f"t{i * 7 % 501}x{j}" for j in range(5))) for i in range(800)]
+    (index,) = D.indexes(items(spark, rows))
+    assert max(a.size for a in vars(index).values() if hasattr(a, "size")) <= len(index.items) + 1
+
+
+def test_answers_and_questions_are_verified_apart(spark, documents):
+    rows = [(1, "Who wrote down the long song of the nine rivers and seven hills", "Marta of the lower valley"), (2, "...", "only an answer stands in this one"), (3, "?", "")]
+    table = spark.createDataFrame(rows, "item_id long, text string, answer string")
+    texts = [(1, f"{rows[0][1]} {rows[0][2]}"), (2, rows[0][1]), (3, rows[0][2]), (4, rows[1][2]), (5, None)]
+    got = {(r.doc_id, r.item_id) for r in D.leaks(documents(texts), table, answer_col="answer").collect()}
+    assert got == {(1, 1), (4, 2)} == brute(texts[:4], rows)
 
 
 def test_slices_give_the_same_pairs(spark, documents):
