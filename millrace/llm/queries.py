@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html.entities import html5
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,16 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op1_sql() -> str:
+    """SQL of the derivatives, with patterns of its own: it shares none with the operator."""
+    silent = "|".join(f"{tag}\\b[^>]*>.*?(?:</{tag}\\s*>|$)" for tag in "title template noscript style script".split())
+    COMMENT, SILENT = "(?s)<!--.*?(?:-->|$)", f"(?is)<(?:{silent})"
+    blocks = """p div br li ul ol dl dt dd h1 h2 h3 h4 h5 h6 hr tr td th table thead tbody tfoot caption form fieldset pre address
+        article aside section header footer nav main figure figcaption blockquote body html""".split()
+    BLOCK, INLINE = f"(?i)<(?:/|)(?:{'|'.join(blocks)})\\b[^>]*>", "(?s)<[A-Za-z/!?][^>]*(?:>|$)"
+    SPACE, ENDS = "[ \\t\\v\\f\\r\u00a0]+", " ?\\n[ \\n]*"
+    TITLE = "(?is)<title\\b[^>]*>(.*?)</title\\s*>"
+    LINK = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"']([^\"'>]*)[\"']"
+
     def quoted(text: str) -> str:
         plain = text.replace("'", "''")
         return "'" + plain.replace("\r", "'||chr(13)||'").replace("\n", "'||chr(10)||'") + "'"
@@ -34,12 +45,18 @@ def _op1_sql() -> str:
         return f"regexp_replace({text}, {quoted(pattern)}, {quoted(by)}, 'g')"
 
     def decoded(text: str) -> str:
-        names = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in warc.NAMED.items())
-        ref, whole = (f"regexp_extract(p, {quoted(warc.REFERENCE)}, {i})" for i in (1, 0))
-        code = f"CASE WHEN lower({ref}[2]) = 'x' THEN TRY_CAST('0x' || {ref}[3:] AS BIGINT) ELSE TRY_CAST({ref}[2:] AS BIGINT) END"
-        real = f"({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111"
-        char = f"CASE WHEN {ref}[1] = '#' THEN chr(CAST(CASE WHEN {real} THEN {code} ELSE 65533 END AS INTEGER)) ELSE (MAP {{{names}}})[{ref}] END"
-        piece = f"coalesce(({char}) || p[length({whole}) + 1:], '&' || p)"
+        names = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in html5.items())
+        older = "|".join(sorted({k for k in html5 if k[-1] != ";"}, key=len, reverse=True))
+        number, name = "regexp_extract(p, '^#([0-9]+|[xX][0-9A-Fa-f]+)')", "regexp_extract(p, '^[a-zA-Z][a-zA-Z0-9]*;?')"
+        prefix = f"regexp_extract({name}, '^({older})')"
+        digits = f"CASE WHEN lower({number}[2]) = 'x' THEN '0x' || ltrim({number}[3:], '0') ELSE ltrim({number}[2:], '0') END"
+        code = f"CASE WHEN length({digits}) > 10 THEN 0 ELSE coalesce(TRY_CAST({digits} AS BIGINT), 0) END"
+        western = ", ".join(f"{i}: {ord(c)}" for i in range(128, 160) if (c := bytes([i]).decode("cp1252", "ignore")))
+        moved = f"coalesce((MAP {{{western}}})[CAST({code} AS INTEGER)], {code})"
+        char = f"chr(CAST(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {moved} ELSE 65533 END AS INTEGER))"
+        piece = f"""CASE WHEN {number} <> '' THEN {char} || regexp_replace(p[length({number}) + 1:], '^;', '')
+            WHEN (MAP {{{names}}})[{name}] IS NOT NULL THEN (MAP {{{names}}})[{name}] || p[length({name}) + 1:]
+            WHEN {prefix} <> '' THEN (MAP {{{names}}})[{prefix}] || p[length({prefix}) + 1:] ELSE '&' || p END"""
         parts = f"string_split({text}, '&')"
         return f"{parts}[1] || array_to_string(list_transform({parts}[2:], lambda p: {piece}), '')"
 
@@ -50,9 +67,9 @@ def _op1_sql() -> str:
         return f"'sha256:' || sha256({text})"
 
     crlf = "chr(13) || chr(10)"
-    untagged = replaced(replaced(replaced(replaced("body", warc.COMMENT, ""), warc.SILENT, ""), warc.BLOCK_TAG, "\n"), warc.INLINE_TAG, "")
-    squeezed = "trim(" + replaced(replaced("decoded", warc.SPACES, " "), warc.LINE_ENDS, "\n") + ", ' ' || chr(10))"
-    title = "trim(" + replaced(decoded(f"regexp_extract(body, {quoted(warc.TITLE)}, 1)"), "[ \t\r\n\f]+", " ") + ")"
+    untagged = replaced(replaced(replaced(replaced("body", COMMENT, ""), SILENT, ""), BLOCK, "\n"), INLINE, "")
+    squeezed = "trim(" + replaced(replaced("decoded", SPACE, " "), ENDS, "\n") + ", ' ' || chr(10))"
+    title = "trim(" + replaced(decoded(f"regexp_extract(body, {quoted(TITLE)}, 1)"), "[ \t\r\n\f]+", " ") + ")"
     link = replaced("replace(l, '&amp;', '&')", "[\r\n]+", "")
     return f"""
 WITH response AS (
@@ -64,7 +81,7 @@ WITH response AS (
 ), decoded AS (SELECT *, {decoded("untagged")} AS decoded FROM untagged
 ), parts AS (
   SELECT page_id, uri, record_id, {squeezed} AS text, {title} AS title, h2, h3,
-         array_to_string(list_transform(regexp_extract_all(body, {quoted(warc.LINK)}, 1), lambda l: 'outlink: ' || {link} || {crlf}), '') AS outlinks,
+         array_to_string(list_transform(regexp_extract_all(body, {quoted(LINK)}, 1), lambda l: 'outlink: ' || {link} || {crlf}), '') AS outlinks,
          {digest("body")} AS payload_digest,
          {digest(f"'HTTP/1.1 200 OK' || {crlf} || h2 || {crlf} || h3 || {crlf} || {crlf} || body")} AS block_digest
   FROM decoded

@@ -6,8 +6,9 @@ the page's text. Identifiers are drawn from hashes of the response's own, so a r
 executor writes the same records. Every row is built on its own: nothing is shuffled.
 
 Text extraction: comments, titles, scripts, styles, templates and unfinished tags go, block-level tags
-become line ends, other tags vanish, named (HTML 4) and numeric character references are decoded once,
-and white space is squeezed within lines.
+become line ends, other tags vanish, character references are decoded once as the HTML standard has it (all of
+its names, the older ones also without a semicolon and as the start of a longer word; numbers of any length,
+128 to 159 as windows-1252), and white space is squeezed within lines.
 
 Cases, all defined: a null or empty body gives records with an empty text; a null URI leaves its headers
 out; a null date or header block is left empty. Line ends in a URI are percent-encoded, since headers
@@ -18,7 +19,7 @@ unknown names stay as they are. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,17 +39,28 @@ BLOCK_TAG = (
 INLINE_TAG = r"<[A-Za-z/!?][^>]*(?:>|\z)"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title[ \t\r\n\f]*>"
 LINK = r"""(?i)<a\b[^>]*?\bhref[ \t\r\n\f]*=[ \t\r\n\f]*["']([^"'>]*)["']"""
-REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
-LONGEST_REFERENCE = 32
+NUMBER = r"^#(?:[0-9]+|[xX][0-9a-fA-F]+)"
+NAME = r"^[A-Za-z][A-Za-z0-9]*;?"
+#: Longer than any name.
+LONGEST_NAME = 40
 SPACES = r"[ \t\x0B\f\r\x{A0}]+"
 LINE_ENDS = r" ?\n[ \n]*"
-#: Named references, from the standard library's HTML 4 table.
-NAMED = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
-
-
-def _character(code: Column) -> Column:
+#: Named references, from the standard library's HTML 5 table, by their first letter; with the semicolon that ends them, but for
+#: some older names that also stand without.
+NAMED = [{name: text for name, text in sorted(html5.items()) if name[0] == chr(code)} for code in range(ord("A"), ord("z") + 1)]
+OLDER = "^(?:" + "|".join(sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))) + ")"
+#: Numbers that stand for what the code page windows-1252 has in their place.
+WINDOWS_1252 = [ord(bytes([code]).decode("cp1252", "ignore") or chr(code)) for code in range(0x80, 0xA0)]
+
+
+def _character(digits: Column, base: int) -> Column:
+    """The character of a numeric reference, whatever its number of digits."""
+    significant = F.regexp_replace(digits, "^0+", "")
+    code = F.when(F.char_length(significant) <= 8, F.least(F.conv(significant, base, 10).cast("long"), F.lit(0x110000).cast("long")))
+    windows = F.from_json(F.lit(json.dumps(WINDOWS_1252)), "array<int>")
+    code = F.coalesce(F.get(windows, (code - 0x80).cast("int")).cast("long"), code)
     real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    four_bytes = F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(0xFFFD).cast("long")), 8, "0"))
+    four_bytes = F.unhex(F.lpad(F.hex(F.when(real, code).otherwise(F.lit(0xFFFD).cast("long"))), 8, "0"))
     return F.decode(four_bytes, "UTF-32")
 
 
@@ -58,7 +70,8 @@ def split_references(text: Column) -> Column:
     pieces = F.split(text, "&", -1)
 
     def read(piece: Column) -> Column:
-        found = F.regexp_extract(piece.substr(1, LONGEST_REFERENCE), REFERENCE, 1)
+        number = F.regexp_extract(piece, NUMBER, 0)
+        found = F.when(piece.startswith("#"), number).otherwise(F.regexp_extract(piece.substr(1, LONGEST_NAME), NAME, 0))
         return F.struct(found.alias("ref"), piece.alias("rest"))
 
     return F.when(text.contains("&"), F.transform(pieces, read)).otherwise(
@@ -68,16 +81,22 @@ def split_references(text: Column) -> Column:
 
 def join_references(parts: Column) -> Column:
     """The text of split_references() with its references replaced by their characters, each once."""
-    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    tables = F.from_json(F.lit(json.dumps(NAMED)), "array<map<string,string>>")
+
+    def named(name: Column) -> Column:
+        return F.try_element_at(F.get(tables, F.ascii(name) - ord("A")), name)
 
     def decoded(part: Column, i: Column) -> Column:
         ref, rest = part["ref"], part["rest"]
-        digits = F.when(F.lower(ref.substr(2, 1)) == "x", F.conv(ref.substr(3, 9), 16, 10)).otherwise(ref.substr(2, 9))
-        found = F.when(ref.startswith("#"), _character(digits.try_cast("long"))).otherwise(F.try_element_at(named, ref))
-        after = F.char_length(ref) + 1
-        after = after + (rest.substr(after, F.lit(1)) == ";").cast("int")
-        return F.when(i == 0, rest).when(found.isNull(), F.concat(F.lit("&"), rest)).otherwise(
-            F.concat(found, rest.substr(after, F.char_length(rest)))
+        size, older = F.char_length(ref), F.regexp_extract(ref, OLDER, 0)
+        after = size + 1 + (rest.substr(size + 1, F.lit(1)) == ";").cast("int")
+        number = F.when(F.lower(ref.substr(2, 1)) == "x", _character(ref.substr(F.lit(3), size), 16)).otherwise(_character(ref.substr(F.lit(2), size), 10))
+        return (
+            F.when(i == 0, rest)
+            .when(ref.startswith("#"), F.concat(number, rest.substr(after, F.char_length(rest))))
+            .when(named(ref).isNotNull(), F.concat(named(ref), rest.substr(size + 1, F.char_length(rest))))
+            .when(older != "", F.concat(named(older), rest.substr(F.char_length(older) + 1, F.char_length(rest))))
+            .otherwise(F.concat(F.lit("&"), rest))
         )
 
     return F.array_join(F.transform(parts, decoded), "")
