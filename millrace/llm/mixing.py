@@ -2,8 +2,9 @@
 
 A source's share is its weight's part of the total. Sources whose share exceeds ``max_epochs`` times
 their size are clamped there and the excess is shared again among the rest, by weight, until no source
-is above. Because clamping only raises the level of the others, the clamped sources are those of the
-smallest ratio of cap to weight, and running sums in that order find the fixed point at once.
+is above. Clamping only raises the level of the others, so a round clamps every source that the level
+has passed, and the level of the next round comes from sums over the sources: no source is ranked, and
+what the driver sees of a round is one row.
 
 Sampling: a source whose target is e times its size repeats every document floor(e) times. The
 remaining fraction is one more repetition of some documents, chosen by a seeded hash of the id: the
@@ -29,8 +30,8 @@ from millrace.llm.text import WORD_PATTERN
 from millrace.session import cut_lineage
 
 SEED = 20
-#: Up to so many sources the per-source table (under 100 bytes a row) is broadcast; beyond, it is joined by salted shuffle.
-BROADCAST_SOURCES = 100_000
+#: Up to so many sources and bytes of their names the per-source table is broadcast; beyond, it is joined by salted shuffle.
+BROADCAST_SOURCES, BROADCAST_NAME_BYTES = 100_000, 16_000_000
 SALTS = 64
 #: Buckets from which the last words of a quota are picked document by document.
 OPEN_BUCKETS = 8
@@ -42,28 +43,38 @@ def word_count(text: Column) -> Column:
 
 def cyclic_weights(sources: DataFrame, weights: Sequence[float] = (5, 2, 1)) -> DataFrame:
     """``source, weight``: the weights in turn over the sources by code point, null last."""
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    order = F.col("source").asc_nulls_last()
+    part = F.spark_partition_id().alias("part")
+    ranged = cut_lineage(sources.select("source").repartitionByRange(order).select("source", part))
+    # One row for each task's range: how many sources stand before it.
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    nth = F.col("start") + F.col("inside")
     cycle = F.array(*(F.lit(float(w)) for w in weights))
-    return sources.select("source", F.element_at(cycle, (nth % len(weights) + 1).cast("int")).alias("weight"))
+    numbered = ranged.withColumn("inside", inside).join(F.broadcast(starts), "part")
+    return numbered.select("source", F.element_at(cycle, (nth % len(weights) + 1).cast("int")).alias("weight"))
 
 
 def water_fill(sizes: DataFrame, share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
     """Add ``target`` to ``source, source_size, weight``; the targets add up to ``share`` of all sizes if the caps allow."""
     cap = F.col("source_size") * F.lit(float(max_epochs))
-    rising = Window.orderBy(F.col("_ratio"), F.col("source").asc_nulls_first())
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    everyone = Window.partitionBy(F.lit(0))
-    filled = (
-        sizes.withColumn("_cap", cap)
-        .withColumn("_ratio", F.when(F.col("weight") > 0, F.col("_cap") / F.col("weight")).otherwise(float("inf")))
-        .withColumn("_left", F.sum("source_size").over(everyone) * share - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
-        .withColumn("_weights", F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("_level", F.when(F.col("_weights") > 0, F.col("_left") / F.col("_weights")).otherwise(0.0))
-        .withColumn("_free", F.col("_level") <= F.col("_ratio"))
-        .withColumn("_water", F.min(F.when(F.col("_free"), F.struct("_ratio", "source", "_level"))).over(everyone)["_level"])
-    )
-    target = F.when(F.col("_water").isNull(), F.col("_cap")).otherwise(F.least("_cap", F.col("weight") * F.col("_water")))
-    return filled.select("source", "source_size", "n_docs", "weight", F.greatest(target, F.lit(0.0)).alias("target"))
+    total = sizes.agg(F.sum("source_size") * share).first()[0] or 0.0
+    level = 0.0
+    while True:
+        # The sources that the level does not fill up share what the others' caps leave.
+        free = F.col("weight") * F.lit(level) < cap
+        held = sizes.agg(F.sum(F.when(~free, cap)).alias("caps"), F.sum(F.when(free, F.col("weight"))).alias("weights")).first()
+        if not held["weights"]:
+            level = float("inf")
+            break
+        risen = (total - (held["caps"] or 0.0)) / held["weights"]
+        if risen <= level * (1 + 1e-12):
+            break
+        level = risen
+    target = F.when(F.col("weight") > 0, F.least(cap, F.col("weight") * F.lit(level))).otherwise(0.0)
+    return sizes.select("source", "source_size", "n_docs", "weight", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
 def id_hash(doc_id: Column) -> Column:
@@ -85,7 +96,8 @@ def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` with the columns of their source, which are few enough to broadcast or else met by salt."""
     right = sources.withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))
-    if sources.count() <= BROADCAST_SOURCES:
+    size = right.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("_source")).alias("bytes")).first()
+    if size["rows"] <= BROADCAST_SOURCES and (size["bytes"] or 0) <= BROADCAST_NAME_BYTES:
         return rows.join(F.broadcast(right), same).drop("_source")
     salted = right.withColumn("_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = rows.withColumn("_salt", F.pmod("id_hash", F.lit(SALTS)).cast("int"))
