@@ -35,6 +35,8 @@ SEED = 42
 MAX_BITS = 3
 #: Fingerprints of one key that a task verifies together; of a larger key, two tiles at a time.
 TILE = 16_384
+#: Tiles of one key that meet all its others in one task.
+TILES_OF_CELL = 4
 #: Fixed value: how the 48 bits beside a block are cut into two segments of 24.
 SEGMENT_BITS = 24
 
@@ -196,9 +198,13 @@ def links_of_keys(keyed: DataFrame, tile: int = TILE, near_of: Callable = spanni
     dealt = keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
     out = cut_lineage(dealt.mapInArrow(_verifier(tile, near_of, max_bits), VERIFIED_DDL))
     tiles = out.where("key IS NOT NULL").select("key", "tile", F.element_at("tile", 1).alias("first"))
-    left = tiles.select("key", F.col("first").alias("i"), F.col("tile").alias("left"))
-    right = tiles.select("key", F.col("first").alias("j"), F.col("tile").alias("right"))
-    met = left.join(right, "key").where("i < j").select("left", "right").mapInArrow(_meeting(near_of), "a long, b long")
+    # A key of many tiles is met in as many cells as it has handfuls of tiles: each right tile is in one, the left ones in all.
+    cells = tiles.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILES_OF_CELL).cast("int").alias("cells"))
+    tiles = cut_lineage(tiles.join(cells.where("cells > 1"), "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1))))
+    cell = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")
+    left = tiles.select("key", F.col("first").alias("i"), F.col("tile").alias("left"), cell)
+    right = tiles.select("key", F.col("first").alias("j"), F.col("tile").alias("right"), F.pmod(F.xxhash64("first"), "cells").cast("int").alias("cell"))
+    met = left.join(right, ["key", "cell"]).where("i < j").select("left", "right").mapInArrow(_meeting(near_of), "a long, b long")
     return out.where("key IS NULL").select("a", "b").union(met).distinct()
 
 
