@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: object) -> SparkSession:
-    """A session with adaptive execution on and the clock in UTC.
+    """A session with adaptive execution on, the clock in UTC, and checkpoints deleted once nothing refers to them.
 
     Master and cluster settings are left to spark-submit unless given.
     """
@@ -19,6 +20,7 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: obje
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -32,10 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset, as in local tests."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one in local mode alone."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return context.getCheckpointDir()
 
