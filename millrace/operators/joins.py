@@ -6,7 +6,7 @@ so their cost is a sort of both sides, whatever the number of matches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +23,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: s
     return latest.where("_side = 1").select("_row.*", *(F.col(f"_latest.{c}").alias(f"as_of_{c}") for c in carry))
 
 
+def as_of_many(left: DataFrame, key: str, left_at: str, tables: Mapping[str, DataFrame], right_at: str = "at") -> DataFrame:
+    """Each left row with a struct for each table: the other columns of its latest row at or before the left one.
+
+    All tables go through one sort of the key's rows.
+    """
+    rows = {name: F.struct(*(c for c in df.columns if c not in (key, right_at))) for name, df in tables.items()}
+    kinds = {name: df.select(rows[name].alias("t")).schema["t"].dataType for name, df in tables.items()}
+    nothing = {name: F.lit(None).cast(kind).alias(f"_{name}") for name, kind in kinds.items()}
+    both = left.select(key, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct("*").alias("_row"), *nothing.values())
+    for name, df in tables.items():
+        here = {**nothing, name: rows[name].alias(f"_{name}")}
+        both = both.unionByName(df.select(key, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema).alias("_row"), *here.values()))
+    before = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumns({name: F.last(f"_{name}", ignorenulls=True).over(before) for name in tables})
+    return found.where("_side = 1").select("_row.*", *tables)
+
+
 def taken_type(df: DataFrame, columns: Sequence[str]):
     return df.select(F.struct(*columns).alias("t")).schema["t"].dataType
 

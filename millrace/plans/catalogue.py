@@ -7,6 +7,7 @@ from millrace.plans import (
     corpus_queries,
     harness_queries,
     join_queries,
+    rule_queries,
     scalar_queries,
     sequence_queries,
     source_queries,
@@ -19,6 +20,7 @@ BOOKS = tuple(
     for module in (
         sequence_queries,
         join_queries,
+        rule_queries,
         aggregate_queries,
         scalar_queries,
         corpus_queries,
