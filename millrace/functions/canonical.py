@@ -21,7 +21,8 @@ def _unique(pairs: list[tuple[str, object]]) -> dict[str, object]:
 
 
 def _within(value: object, depth: int = 1) -> bool:
-    if depth > MAX_DEPTH:
+    """Whether all limits hold; ``depth`` is that of ``value`` if it is a container, and no scalar adds to it."""
+    if depth > MAX_DEPTH and isinstance(value, (dict, list)):
         return False
     if isinstance(value, str):
         return len(value.encode("utf-8", "surrogatepass")) <= MAX_STRING_BYTES and not any(0xD800 <= ord(c) <= 0xDFFF for c in value)
@@ -72,5 +73,12 @@ def recursive_scalars(value: object) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def scalars(texts: pd.Series) -> pd.Series:
-    """All scalar values anywhere in a JSON text, in order."""
-    return texts.map(lambda t: [] if t is None else recursive_scalars(json.loads(t)))
+    """All scalar values anywhere in a JSON text, in order; none of a null, and null of a malformed text."""
+
+    def one(text: str | None) -> list[str] | None:
+        try:
+            return [] if text is None else recursive_scalars(json.loads(text))
+        except (ValueError, RecursionError):
+            return None
+
+    return texts.map(one)

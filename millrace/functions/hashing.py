@@ -22,8 +22,9 @@ def framed(domain: str, parts: Sequence[Column]) -> Column:
 
 
 def joined_key(parts: Sequence[Column]) -> Column:
-    """SHA-256 of the parts with a zero byte between."""
-    return F.sha2(F.concat_ws("\0", *parts), 256)
+    """SHA-256 of the parts with a zero byte between; null if a part is, so that no key stands for two lists of parts."""
+    zero = F.lit("\0")
+    return F.sha2(F.concat(parts[0], *(x for part in parts[1:] for x in (zero, part))), 256)
 
 
 def draw_u64(seed: Column, stream: Column) -> Column:

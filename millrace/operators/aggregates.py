@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ranking import ranked
+
 
 def rate(passed: Column, among: Column | None = None) -> Column:
     """Passed over total among the rows where ``among`` holds; null if there are none."""
@@ -115,8 +117,7 @@ def queue(rows: DataFrame, key: str, rarity: str, item: str) -> DataFrame:
     grouped = rows.groupBy(key).agg(
         F.count(F.lit(1)).alias("n"), F.max(rarity).alias("rarity"), F.array_sort(F.collect_list(item)).alias("items")
     )
-    place = F.row_number().over(Window.partitionBy("rarity").orderBy(key))
-    return grouped.withColumn("place_in_rarity", place.cast("long"))
+    return ranked(grouped, "rarity", [F.col(key)], "place_in_rarity")
 
 
 def repeated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

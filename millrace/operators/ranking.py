@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 
 def first_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str]) -> DataFrame:
     """Of each group the ``carry`` columns of the least row by ``order``, by one aggregation without a sort."""
@@ -27,16 +29,35 @@ def hash_rank(key: Column, domain: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{domain}\0"), key.cast("string")), 256)
 
 
+def ranked(rows: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: the place of each row in its group, from 1, however many rows a group has.
+
+    Rows are dealt by ranges of (group, order), numbered within each task's range, and moved up by the rows of
+    their group in the ranges before: a count for each group and range is all that is gathered.
+    """
+    keys = {f"_o{i}": column for i, column in enumerate(order)}
+    keyed = rows.withColumns(keys)
+    dealt = cut_lineage(keyed.repartitionByRange(group, *keys).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_group", "_at", F.coalesce(before, F.lit(0)).alias("_before")).where("_before > 0")
+    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*keys)))
+    met = local.join(starts, local[group].eqNullSafe(starts["_group"]) & (local["_part"] == starts["_at"]), "left")
+    place = F.col("_local").cast("long") + F.coalesce("_before", F.lit(0))
+    return met.withColumn(name, place).drop("_part", "_local", "_group", "_at", "_before", *keys)
+
+
 def stratified_share(rows: DataFrame, stratum: str, rank: Column, percent: int) -> DataFrame:
     """The first ceil(``percent`` %) of each stratum by ``rank``."""
-    window = Window.partitionBy(stratum)
-    ranked = rows.withColumn("_rank", F.row_number().over(window.orderBy(rank))).withColumn("_n", F.count(F.lit(1)).over(window))
-    return ranked.where(F.col("_rank") <= F.floor((F.col("_n") * percent + 99) / 100)).drop("_rank", "_n")
+    sizes = rows.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ranked(rows, stratum, [rank], "_rank")
+    sized = placed.join(sizes, placed[stratum].eqNullSafe(sizes["_stratum"]))
+    return sized.where(F.col("_rank") <= F.floor((F.col("_n") * percent + 99) / 100)).drop("_rank", "_n", "_stratum")
 
 
 def presented(candidates: DataFrame, group: str, key: Column) -> DataFrame:
     """Add ``position``: the candidates of a group in hash order."""
-    return candidates.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(key)).cast("long"))
+    return ranked(candidates, group, [key], "position")
 
 
 def nearest_length(targets: DataFrame, pool: DataFrame, key: str, length: str, wanted: str, item: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from millrace.operators.sequence import ordered, upto
 
@@ -92,22 +94,25 @@ def fold(log: DataFrame, session: str, order: Sequence[str], columns: Sequence[s
 
     For what feeds back on itself: resets that depend on what was added since, packing under several limits,
     spans that live on from revision to revision. Rows are streamed, so a session may be of any length.
+    Null sessions are one session. Numbers of 64 bits and nulls pass through unchanged.
     """
-    names = [part.split()[0] for part in schema.split(", ")]
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
     rows = log.select(session, *columns, *(c for c in order if c not in columns))
     sorted_rows = rows.repartition(session).sortWithinPartitions(session, *order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), {}
         for batch in batches:
-            out = []
-            for key, *values in batch[[session, *columns]].itertuples(index=False):
-                if key != current:
-                    current, state = key, {}
-                out.append((key, *step(state, tuple(values))))
-            yield pd.DataFrame(out, columns=names)
-
-    return sorted_rows.mapInPandas(run, schema)
+            for start in range(0, batch.num_rows, 1024):
+                part = [batch.column(i).slice(start, 1024).to_pylist() for i in range(1 + len(columns))]
+                out = []
+                for key, *values in zip(*part, strict=True):
+                    if key != current:
+                        current, state = key, {}
+                    out.append((key, *step(state, tuple(values))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def rollover(limit: int, checkpoint: int) -> Step:

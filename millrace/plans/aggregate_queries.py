@@ -94,10 +94,25 @@ def label_gate_verdicts(spark, sf_dir):
     return A.gates(values, {"quality_rate": (">=", 0.8), "clean_rate": (">=", 0.99), "n_labels": ("<=", 1e8)}).withColumn("value", F.round("value", 6))
 
 
-@book.query("""SELECT p_size AS value, list_sort(list(DISTINCT p_brand)) AS owners FROM part WHERE p_partkey % 10 = 0 GROUP BY p_size HAVING count(DISTINCT p_brand) > 1""")
+_SPLITS = ("train", "dev", "test", "demo")
+
+
+@book.query("""WITH d AS (SELECT ['train', 'dev', 'test', 'demo'][CAST(substr(source, 4) AS INTEGER) % 4 + 1] AS split, unnest([
+  {label: 'stream', value: sha256(text)}, {label: 'template', value: sha256(lang || ':' || n_chars // 100)}, {label: 'timing seed material', value: sha256(source)},
+  {label: 'lookup value', value: sha256(split_part(text, ' ', 1))}, {label: 'tool result', value: sha256(lower(substr(text, 1, 20)))},
+  {label: 'timer message', value: sha256(split_part(text, chr(10), 1))}]) AS f FROM documents)
+SELECT f.label AS label, f.value AS value, list_sort(list(DISTINCT split)) AS owners FROM d GROUP BY ALL HAVING count(DISTINCT split) > 1""")
 def split_ledger_reuse(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_size").alias("value"), "p_brand")
-    return A.crossing_owners(parts, ["value"], "p_brand")
+    splits = F.array(*map(F.lit, _SPLITS))
+    split = F.element_at(splits, (F.substring("source", 4, 9).cast("int") % 4 + 1).cast("int"))
+    values = {
+        "stream": F.col("text"), "template": F.concat_ws(":", "lang", F.floor(F.col("n_chars") / 100).cast("string")), "timing seed material": F.col("source"),
+        "lookup value": F.split_part("text", F.lit(" "), F.lit(1)), "tool result": F.lower(F.substring("text", 1, 20)),
+        "timer message": F.split_part("text", F.lit("\n"), F.lit(1)),
+    }
+    families = F.array(*(F.struct(F.lit(label).alias("label"), F.sha2(value, 256).alias("value")) for label, value in values.items()))
+    rows = table(spark, sf_dir, "documents").select(split.alias("split"), F.explode(families).alias("f")).select("split", "f.*")
+    return A.crossing_owners(rows, ["label", "value"], "split")
 
 
 @book.query("""WITH t AS (SELECT DISTINCT o_orderpriority, 3000::BIGINT AS target FROM orders), r AS (SELECT o_orderpriority, count(*) AS realised FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)

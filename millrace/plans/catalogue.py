@@ -7,6 +7,7 @@ from millrace.plans import (
     corpus_queries,
     harness_queries,
     join_queries,
+    metric_queries,
     rule_queries,
     scalar_queries,
     sequence_queries,
@@ -20,6 +21,7 @@ BOOKS = tuple(
     for module in (
         sequence_queries,
         join_queries,
+        metric_queries,
         rule_queries,
         aggregate_queries,
         scalar_queries,

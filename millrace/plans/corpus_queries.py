@@ -61,26 +61,27 @@ def quality_flags_issue_report(spark, sf_dir):
     return C.issues(table(spark, sf_dir, "documents"), "doc_id", rules)
 
 
-def _gram_sql(n, first):
+def _gram_sql(n, first, most):
     grams = f"list_distinct(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))"
     picked = f"[array_to_string(w[1:{n}], ' ')]" if first else grams
-    return f"""WITH w AS (SELECT conv_id * 1000 + turn AS doc, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM conversations),
-g AS (SELECT DISTINCT doc, unnest({picked}) AS gram FROM w WHERE len(w) >= {n}) SELECT gram, count(*) AS n_docs FROM g GROUP BY gram HAVING count(*) > 1"""
+    return f"""WITH w AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc, unnest({picked}) AS gram FROM w WHERE len(w) >= {n}) SELECT gram, count(*) AS n_docs FROM g GROUP BY gram HAVING count(*) > {most}"""
 
 
-def _turn_words(spark, sf_dir):
-    return turn_log(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc"), T.words(F.col("text")).alias("w"))
+def _doc_words(spark, sf_dir, least):
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.words(F.col("text")).alias("w"))
+    return words.where(F.size("w") >= least)
 
 
-@book.query(_gram_sql(4, True))
+#: An opening of four words is overused in more than three documents, eight words in more than two.
+@book.query(_gram_sql(4, True, 3))
 def opening_ngram_overuse(spark, sf_dir):
-    words = _turn_words(spark, sf_dir).where(F.size("w") >= 4)
-    return C.overused(words, "doc", F.array(F.array_join(F.slice("w", 1, 4), " ")), 1)
+    return C.overused(_doc_words(spark, sf_dir, 4), "doc", F.array(F.array_join(F.slice("w", 1, 4), " ")), 3)
 
 
-@book.query(_gram_sql(8, False))
+@book.query(_gram_sql(8, False, 2))
 def eight_gram_overuse(spark, sf_dir):
-    return C.overused(_turn_words(spark, sf_dir), "doc", T.token_ngrams(F.col("w"), 8), 1)
+    return C.overused(_doc_words(spark, sf_dir, 8), "doc", T.token_ngrams(F.col("w"), 8), 2)
 
 
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
@@ -122,13 +123,14 @@ def embedding_cosine_topk(spark, sf_dir):
     return found.withColumn("cosine", F.round("cosine", 6))
 
 
-@book.query("""WITH l AS (SELECT DISTINCT label FROM embeddings), need AS (SELECT label, unnest([0, 1, 2]) AS kind FROM l), have AS (SELECT DISTINCT label, CAST(vec_id % 3 AS INTEGER) AS kind FROM embeddings WHERE vec_id % 7 < 2)
-SELECT label, kind FROM need EXCEPT SELECT label, kind FROM have""")
+@book.query("""WITH f AS (SELECT DISTINCT source FROM documents), need AS (SELECT source, unnest([0, 1]) AS quality, toxic FROM f, (SELECT unnest([0, 1]) AS toxic)),
+have AS (SELECT DISTINCT source, quality, toxic FROM documents JOIN labels USING (doc_id)) SELECT source, quality, toxic FROM need EXCEPT SELECT source, quality, toxic FROM have""")
 def missing_family_coverage(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id")
-    need = rows.select("label").distinct().select("label", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("kind"))
-    have = rows.where("vec_id % 7 < 2").select("label", (F.col("vec_id") % 3).cast("int").alias("kind"))
-    return need.join(have, ["label", "kind"], "left_anti")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    kinds = F.explode(F.array(*(F.struct(F.lit(q).alias("quality"), F.lit(t).alias("toxic")) for q in (0, 1) for t in (0, 1)))).alias("k")
+    need = docs.select("source").distinct().select("source", kinds).select("source", "k.*")
+    have = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    return need.join(have, ["source", "quality", "toxic"], "left_anti")
 
 
 @book.query("""WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS a, lead(regexp_extract_all(lower(text), '[a-z]+')) OVER (ORDER BY item_id) AS b FROM benchmark)

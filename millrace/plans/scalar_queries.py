@@ -100,8 +100,32 @@ def substring_occurrences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.occurrences("en")("text").alias("places"))
 
 
-@book.query(r"""SELECT doc_id, regexp_matches(text, '(?i)\b(?:highlight|underline|mark|look[ \t\n\f\r]+up|lookup|remind[ \t\n\f\r]+me|stop[ \t\n\f\r]+the[ \t\n\f\r]+timer|cancel[ \t\n\f\r]+the[ \t\n\f\r]+timer)\b') AS directive,
- regexp_matches(text, '(?i)\b(?:no|not|never|do[ \t\n\f\r]+not)\b') AS negation,
+_PHRASES = (
+    "Please highlight the second line", "Remind  me every day", "stop timer", "Cancel the timer now", "do not go", "don't go", "nothing to note", "look\tup this",
+    "Set up another egg timer", "add an additional slow-cooker kitchen reminder", "Set another alarm", "try at 5", "once more", "three times", "untilted",
+    "the final  evaluation", "a held-out part", "test set", "retest settled", "scoreboard", "Score it", "plain words alone", "set a timer", "schedule additional one two three four five timer",
+)
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_PHRASE_LIST = "[" + ", ".join(map(_quoted, _PHRASES)) + "]"
+_FLAGS = {
+    "directive": text.DIRECTIVE, "negation": text.NEGATION, "unsupported_timer": text.UNSUPPORTED_TIMER, "meta": text.META, "additional": text.ADDITIONAL,
+}
+
+
+@book.query(f"WITH p AS (SELECT o_orderkey, {_PHRASE_LIST}[o_orderkey % {len(_PHRASES)} + 1] AS phrase FROM orders) SELECT o_orderkey, phrase, "
+            + ", ".join(f"regexp_matches(phrase, {_quoted(p)}) AS {name}" for name, p in _FLAGS.items()) + f", regexp_extract(phrase, {_quoted(text.META)}) AS meta_phrase FROM p")
+def instruction_flags(spark, sf_dir):
+    phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("o_orderkey") % len(_PHRASES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", phrase.alias("phrase"))
+    return rows.select("*", *(F.col("phrase").rlike(p).alias(name) for name, p in _FLAGS.items()), F.regexp_extract("phrase", text.META, 0).alias("meta_phrase"))
+
+
+@book.query(f"""SELECT doc_id, regexp_matches(text, {_quoted(text.DIRECTIVE)}) AS directive, regexp_matches(text, {_quoted(text.NEGATION)}) AS negation,
  (length(text) - length(replace(text, '"', ''))) % 2 = 0 AND length(replace(text, '“', '')) = length(replace(text, '”', '')) AS balanced, len(regexp_extract_all(text, '[.!?]+')) AS n_sentences FROM documents""")
 def phrase_rules(spark, sf_dir):
     t = F.col("text")
@@ -123,7 +147,8 @@ def timer_grammar_roundtrip(spark, sf_dir):
     message = F.concat(F.lit("check order "), F.col("o_orderkey").cast("string"))
     interval = (n * F.when(minutes, 60_000).otherwise(1000)).cast("long")
     instruction = text.render_timer(interval, message, F.col("o_orderkey") % 5 == 0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.parse_timer(instruction).alias("p")).select("o_orderkey", "p.*")
+    written = table(spark, sf_dir, "orders").select("o_orderkey", instruction.alias("instruction"))
+    return text.parse_timer(written, "instruction").drop("instruction")
 
 
 _PREFIX = "coalesce(list_max(list_filter(range(1, least(length(a), length(b)) + 1), lambda i: a[1:i] = b[1:i])), 0)"

@@ -25,7 +25,8 @@ def _advance(gap_us: int):
         closed = []
         for at in sorted(t for t in times if t is not None and t >= 0):
             if open_burst and at - open_burst[2] < gap_us:
-                open_burst = (open_burst[0] + 1, open_burst[1], at)
+                # An event that comes late stretches the open burst; it never moves its end back.
+                open_burst = (open_burst[0] + 1, min(open_burst[1], at), max(open_burst[2], at))
             else:
                 if open_burst:
                     closed.append(open_burst)
@@ -57,10 +58,11 @@ def run_once(spark: SparkSession, path: str, gap_us: int) -> DataFrame:
 
     folder = f"{shared_folder(spark)}/bursts-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    raw = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern, the path may be one file
+    parent, name = path.rsplit("/", 1)
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     kinds = F.array(F.struct(at.alias("at_us"), F.lit(False).alias("is_end")), F.struct(F.lit(-1).cast("long").alias("at_us"), F.lit(True).alias("is_end")))
     rows = raw.select(F.col("user_id").alias("session_id"), F.explode(kinds).alias("e")).select("session_id", "e.*")
     writer = closed_bursts(rows, gap_us).writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress")
-    writer.trigger(once=True).start(f"{folder}/out").awaitTermination()
+    writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.parquet(f"{folder}/out")

@@ -1,13 +1,12 @@
 """Cases that the tables do not hold, and operators without SQL against plain Python."""
 
 import random
-import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import canonical, edits, text, utf16
-from millrace.operators import corpus, harness, joins, sequence, state
+from millrace.functions import canonical, edits, hashing, text, utf16
+from millrace.operators import corpus, harness, joins, ranking, rules, sequence, state
 from millrace.operators import aggregates as A
 from millrace.sources import files
 
@@ -113,8 +112,8 @@ def test_utf16_slices(spark):
 
 def test_timer_grammar(spark):
     texts = ["Remind me every one minute to stretch.", "Set another reminder every ninety-nine seconds to look up.", "Remind me every one minutes to x.", "Remind me every zero seconds to x.", "remind me every two seconds to x."]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.parse_timer(F.col("t"))).collect()]
-    assert [g and tuple(g) for g in got] == [(60_000, "stretch", False), (99_000, "look up", True), None, None, None]
+    got = text.parse_timer(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
+    assert [tuple(g)[1:] for g in got] == [(60_000, "stretch", False), (99_000, "look up", True)] + [(None,) * 3] * 3
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -173,12 +172,8 @@ def test_sources_round_trip(spark, tmp_path):
     good, bad = files.read_jsonl(spark, f"{tmp_path}/log", "id long, kind string")
     assert rows(good, "id") == [(1, "a"), (2, "b\nc")] and bad.count() == 0
     assert files.read_segments(spark, f"{tmp_path}/log/*.txt").count() == 2
-    db = sqlite3.connect(f"{tmp_path}/s.db")
-    db.executescript("CREATE TABLE policy(seq INTEGER, kind TEXT); INSERT INTO policy VALUES (0, 'x'), (1, NULL);")
-    db.close()
-    images = spark.read.format("binaryFile").load(f"{tmp_path}/s.db").select("path", "content")
-    got = files.read_sqlite(images, "SELECT seq, kind FROM policy", "path string, seq long, kind string")
-    assert [(r.seq, r.kind) for r in got.orderBy("seq").collect()] == [(0, "x"), (1, None)]
+    (tmp_path / "one.bin").write_bytes(b"content")
+    images = spark.read.format("binaryFile").load(f"{tmp_path}/one.bin").select("path", "content")
     files.store_artifacts(images.union(images), f"{tmp_path}/store")
     assert spark.read.parquet(f"{tmp_path}/store").count() == 1
 
@@ -191,3 +186,102 @@ def test_empty_tables(spark):
     assert corpus.top_cosine(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True), 3).count() == 0
     with pytest.raises(KeyError):
         A.gates(log, {"n": ("!", 1)})
+
+
+def test_folds_keep_64_bit_keys_and_nulls(spark):
+    log = spark.createDataFrame([(2**53 + 1, 0, 40), (2**53 + 1, 1, 80), (None, 0, 5), (None, 1, 6), (2**53, 0, 7)], "s long, seq long, size long")
+    got = state.fold(log, "s", ["seq"], ["seq", "size"], state.rollover(1000, 30), "s long, seq long, segment long, held long").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(2**53 + 1, 0, 0, 40), (2**53 + 1, 1, 0, 120), (None, 0, 0, 5), (None, 1, 0, 11), (2**53, 0, 0, 7)], key=str)
+
+
+def test_reduced_state_row_by_row(spark):
+    log = spark.createDataFrame([(1, 0, "view", 9), (1, 1, "signup", 3), (1, 2, "signup", 19), (1, 3, "click", 1), (1, 4, "click", 1), (1, 5, "purchase", 3), (1, 6, "error", 0), (1, 7, "view", 2)], "s long, seq long, kind string, k long")
+    got = state.fold(log, "s", ["seq"], ["seq", "kind", "k"], state.reduce_visible, "s long, seq long, view long, n_timers long, pending long").collect()
+    assert [tuple(r)[1:] for r in got] == [(0, 9, 0, 0), (1, 9, 1, 0), (2, 9, 1, 0), (3, 9, 1, 1), (4, 9, 1, 2), (5, 9, 0, 2), (6, 9, 0, 0), (7, 2, 0, 0)]
+
+
+def test_top_cosine_keeps_64_bit_ids(spark):
+    df = spark.createDataFrame([(2**53 + 2 * i + 1, [1.0, i / 7]) for i in range(9)], "vec_id long, embedding array<double>").repartition(3)
+    got = corpus.top_cosine(df, F.col("vec_id") == 2**53 + 1, 3).orderBy("place").collect()
+    assert [r.vec_id - 2**53 for r in got] == [3, 5, 7] and {r.query_id for r in got} == {2**53 + 1}
+
+
+def test_canonical_depth_counts_containers_alone(spark):
+    assert canonical.canonical("[" * 8 + "1" + "]" * 8) is not None and canonical.canonical("[" * 9 + "]" * 9) is None
+    assert canonical.canonical('{"a":' * 8 + "null" + "}" * 8) is not None and canonical.canonical('{"a":' * 9 + "1" + "}" * 9) is None
+    df = spark.createDataFrame([('{"b": [1, {"a": "x"}], "a": null}',), ("{oops",), (None,)], "j string")
+    assert [r[0] for r in df.select(canonical.scalars("j")).collect()] == [["1", '"x"', "null"], None, []]
+
+
+def test_keys_of_null_parts_do_not_collide(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "", "b")], "x string, y string, z string")
+    got = [tuple(r) for r in df.select(hashing.joined_key([F.col("x"), F.col("y"), F.col("z")]), hashing.joined_key([F.col("x"), F.col("z")])).collect()]
+    assert got[0][0] is None and got[1][0] != got[1][1]
+
+
+def test_places_in_large_groups_equal_a_sort(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(1000), i) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, o long, i long").repartition(7)
+    got = {r.i: r.place for r in ranking.ranked(df, "g", [F.col("o"), F.col("i")], "place").collect()}
+    want = {}
+    for g in ("a", "b", None):
+        want |= {i: n + 1 for n, (_, i) in enumerate(sorted((o, i) for x, o, i in data if x == g))}
+    assert got == want
+
+
+def test_phrases_beyond_the_broadcast_bound_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "A red fox ran"), (2, "The red fox, ran!"), (3, "redfox ran"), (4, None)], "doc long, t string")
+    phrases = spark.createDataFrame([(7, "red fox ran"), (8, ""), (9, "fox"), (10, "The Red Fox ran")], "item long, p string")
+    small = rows(corpus.containing_phrases(df, phrases, "doc", "t", "item", "p"), "doc", "item")
+    monkeypatch.setattr(corpus, "BROADCAST_PHRASE_CHARS", 0)
+    assert rows(corpus.containing_phrases(df, phrases, "doc", "t", "item", "p"), "doc", "item") == small == [(1, 7), (1, 9), (2, 7), (2, 9), (2, 10)]
+
+
+def test_normalized_text_and_revision_ratio(spark):
+    df = spark.createDataFrame([("  Straße\n ﬁx\u3000É ", "a b c d", "a x c d"), (None, None, "a"), ("", "", "")], "t string, a string, b string")
+    got = [tuple(r) for r in df.select(text.normalized("t"), edits.matching_ratio("a", "b")).collect()]
+    assert got == [("strasse fix é", 0.75), (None, 0.0), ("", 1.0)]
+
+
+def test_fixed_patterns(spark):
+    cases = {
+        text.DIRECTIVE: (["stop timer", "Cancel  the timer", "every day"], ["bookmarks", "stop that timer"]),
+        text.NEGATION: (["don't go", "Do not", "NEVER"], ["nothing", "knot"]),
+        text.UNSUPPORTED_TIMER: (["try at 5", "three times", "Once"], ["at five", "untilted"]),
+        text.META: (["a held-out part", "Public  replay", "test set"], ["scoreboard", "held outside"]),
+        text.ADDITIONAL: (["Set up another egg timer", "add an additional slow-cooker kitchen reminder"], ["set another alarm", "another timer"]),
+    }
+    for pattern, (hits, misses) in cases.items():
+        df = spark.createDataFrame([(t,) for t in hits + misses], "t string")
+        assert [r[0] for r in df.select(F.col("t").rlike(pattern)).collect()] == [True] * len(hits) + [False] * len(misses), pattern
+
+
+def test_oldest_open_item_by_brute_force(spark):
+    rng = random.Random(5)
+    items = []
+    for s in range(6):
+        for seq in range(0, 40, 2):
+            items.append((s, seq, rng.choice([None, *range(seq + 1, 41, 2)])))
+    df = spark.createDataFrame(items, "session_id long, seq long, done_at long").withColumn("item", F.col("seq"))
+    spans = [tuple(r) for r in rules.oldest_open(df, ["item"]).collect()]
+    for s in range(6):
+        for at in range(1, 42, 2):
+            is_open = [seq for x, seq, done in items if x == s and seq < at and (done is None or done >= at)]
+            assert [item for x, start, end, item in spans if x == s and start <= at <= end] == is_open[:1]
+
+
+def test_a_local_folder_is_refused_off_local_mode(monkeypatch):
+    from millrace import session
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(type("S", (), {"sparkContext": Context()}))
