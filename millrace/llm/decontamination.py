@@ -44,8 +44,8 @@ K1, B = 1.2, 0.75
 SHINGLE_WORDS = 5
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
-#: Passages whose block bounds are summed at a time.
-PASSAGES = 256
+#: Block bounds that are summed at a time.
+BOUNDS = 500_000
 SLACK = 1e-9
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +60,7 @@ class Rules:
     score: float = 0.6
     question: float = 0.8
     answer: float = 0.8
-    block_items: int = 8
+    block_items: int = 2
     slice_postings: int = 1_000_000
 
 
@@ -141,8 +141,9 @@ class Index:
     def open_passages(self, coded: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
         """The passages of which some block may reach the threshold, with their distinct known terms."""
         n_blocks = -(-len(self.ids) // self.block_items)
-        for some in range(0, len(starts), PASSAGES):
-            at = slice(some, some + PASSAGES)
+        passages = max(1, BOUNDS // n_blocks)
+        for some in range(0, len(starts), passages):
+            at = slice(some, some + passages)
             n = len(starts[at])
             codes = coded[ranges(starts[at], ends[at])]
             key = np.unique((np.repeat(np.arange(n), ends[at] - starts[at]) * len(self.largest) + codes)[codes >= 0])
