@@ -69,3 +69,36 @@ def test_cyclic_weights_put_null_last(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([("a  b c\x0bd",), ("",), (None,), (" \n",)], "t string")
     assert [r[0] for r in df.select(M.word_count(F.col("t"))).collect()] == [3, 0, 0, 0]
+
+
+def test_the_query_mixes_as_its_contract_says(spark, documents, tmp_path):
+    import random
+    import re
+
+    from millrace.llm.queries import queries
+
+    rng = random.Random(4)
+    names = [None, "b", "a", "Z", "é", "small"]
+    weights = [3, 8, 8, 5, 9, 1]
+    rows = [(i, " \t".join(["w"] * rng.randint(0, 90)) or None, "en", rng.choices(names, weights)[0]) for i in range(900)] + [(5, "x y", "en", "b"), (None, "p q r", "en", "a")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: sorted((tuple(r[c] for c in ("doc_id", "source", "size", "source_size", "target", "taken")) for r in queries()["op8_source_mixing"](spark, str(tmp_path)).collect()), key=str)
+    out = run()
+    assert out == run() and len(out) == len(rows)
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    want = brute_fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5, 2.0)
+    taken = {}
+    for doc_id, source, size, source_size, target, took in out:
+        assert source_size == sizes[source] and target == pytest.approx(want[source]) and took in (0, size, 2 * size)
+        taken[source] = taken.get(source, 0) + took
+    assert all(abs(taken[s] - want[s]) <= 45 for s in sizes)
+
+
+def test_many_sources_are_numbered_across_ranges(spark):
+    names = [f"s{i:04d}" for i in range(500)] + [None]
+    df = spark.createDataFrame([(n,) for n in names[::-1]], "source string").repartition(6)
+    got = {r.source: r.weight for r in M.cyclic_weights(df).collect()}
+    assert got == {n: (5.0, 2.0, 1.0)[i % 3] for i, n in enumerate(names)}
