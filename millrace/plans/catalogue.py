@@ -8,6 +8,7 @@ from millrace.plans import (
     harness_queries,
     join_queries,
     metric_queries,
+    review_queries,
     rule_queries,
     scalar_queries,
     sequence_queries,
@@ -22,6 +23,7 @@ BOOKS = tuple(
         sequence_queries,
         join_queries,
         metric_queries,
+        review_queries,
         rule_queries,
         aggregate_queries,
         scalar_queries,
