@@ -34,7 +34,7 @@ VIEW_SQL = f"""WITH {POLICY_SQL}, counted AS (
          coalesce(n.n, 0) AS n_active_timers, CASE WHEN a.type = 'cancel' THEN a.timer ELSE t.timer END AS meant
   FROM act a LEFT JOIN ev t ON t.session_id = a.session_id AND t.seq = a.target_seq LEFT JOIN ev m ON m.session_id = a.session_id AND m.seq = a.mark_seq
        LEFT JOIN counted n ON n.session_id = a.session_id AND n.seq = a.seq
-), v AS (
+), v AS MATERIALIZED (
   SELECT a.*, coalesce(l.active OR l.composing, false) AS floor_owned, coalesce(a.latest_snapshot > a.observed_seq, false) AS newer_snapshot, {_STATUS.format('a.meant')} AS timer_active,
          row_number() OVER (PARTITION BY a.session_id, a.type, interval_ms, message ORDER BY a.seq) AS nth_schedule,
          row_number() OVER (PARTITION BY a.session_id, a.type, target_seq, mark_seq, span_start ORDER BY a.seq) AS nth_mark
@@ -82,7 +82,9 @@ def license_view(spark, sf_dir):
 
 
 def _enter(code: str) -> None:
-    @book.query(VIEW_SQL + f" SELECT session_id, seq, type, target_seq FROM v WHERE {_broken(code)}", name=f"rule_{code}")
+    marked = f", w AS MATERIALIZED (SELECT session_id, seq, type, target_seq, {_broken(code)} AS hit FROM v)"
+
+    @book.query(f"{VIEW_SQL}{marked} SELECT session_id, seq, type, target_seq FROM w WHERE hit", name=f"rule_{code}")
     def blocked(spark, sf_dir):
         return R.view(policy_log(spark, sf_dir)).where(R.rules()[code]).select("session_id", "seq", "type", "target_seq")
 
