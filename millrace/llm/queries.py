@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, compression_bands, decontamination, language_id, line_dedup, mixing, quality_trees, simhash, token_attribution, warc
+from millrace.llm import (
+    chat,
+    compression_bands,
+    conversation_repair,
+    decontamination,
+    importance,
+    language_id,
+    line_dedup,
+    mixing,
+    quality_trees,
+    secret_scan,
+    simhash,
+    token_attribution,
+    warc,
+)
 from millrace.llm.text import held_out
 from millrace.session import cut_lineage, table
 
@@ -200,6 +214,167 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands.judge_learned(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, sf_dir, "benchmark"), importance.Rules(max_run=1, buckets=10_000, seed="2024", min_words=20, percent=10))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table names neither owners nor repositories: a source stands for an owner, a document for a repository of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secret_scan.scan(docs, owner_col="source", repo_col="doc_id")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_copied"
+    )
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.digest(conversation_repair.damage(turns), turns).drop("n_turns")
+
+
+#: CRC-32 of a text in SQL: the table of bytes by the rule of its polynomial, and a fold over the text's bytes in hex.
+_CRC_TABLE = """crc_table AS (
+  SELECT list(CAST(list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS BIGINT) ORDER BY i) AS crc
+  FROM (SELECT unnest(range(256)) AS i)
+)"""
+
+
+def _crc_of(text: str) -> str:
+    fold = f"""list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: CAST('0x' || b AS BIGINT)),
+        lambda c, b: xor(c >> 8, crc[CAST((xor(c, b) & 255) + 1 AS INTEGER)]), 4294967295)"""
+    return f"xor({fold}, 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH {_CRC_TABLE}, words AS (
+  SELECT doc_id, rid, unnest(w) AS word FROM (
+    SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents)
+), wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+), coded AS (
+  SELECT word, {_crc_of("word")} % 10000 AS bucket
+  FROM (SELECT word FROM words UNION SELECT word FROM wanted), crc_table
+), s AS (SELECT bucket, count(*) AS s FROM words JOIN coded USING (word) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS t FROM wanted JOIN coded USING (word) GROUP BY bucket
+), totals AS (SELECT (SELECT count(*) FROM words) AS s_all, (SELECT count(*) FROM wanted) AS t_all
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), totals
+), weighed AS (
+  SELECT rid, count(*) AS n, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM words JOIN coded USING (word) JOIN gains USING (bucket) GROUP BY rid
+), scored AS (
+  SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM (SELECT doc_id, row_number() OVER () AS rid FROM documents) d LEFT JOIN weighed USING (rid)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS place,
+         count(*) FILTER (WHERE n_features >= 20) OVER () * 10 // 100 AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM placed
+"""
+
+#: Kind, pattern, group of the secret, and its least length: every letter of a name in either case, written out.
+_SECRETS = {
+    "assign": (
+        "(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name) for name in ("password", "passwd", "secret", "token", "api_?key"))
+        + """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6,
+    ),
+    "access": ("AKIA[A-Z0-9]+", 0, 20),
+    "hex": ("[0-9a-f]+", 0, 24),
+    "private": ("-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    "prefixed": ("(?:gh[pousr]_|xox[abprs]-|sk_live_|AIza|glpat-)[A-Za-z0-9_-]{16,}", 0, 1),
+    "opaque": ("[A-Za-z0-9_-]+", 0, 24),
+}
+
+
+def _op12_sql() -> str:
+    def of(k: int, pattern: str, group: int) -> str:
+        return f"""SELECT rid, {k} AS k, unnest(string_split_regex(text, '{pattern}')) AS gap, unnest(regexp_extract_all(text, '{pattern}', 0)) AS found,
+            unnest(regexp_extract_all(text, '{pattern}', {group})) AS secret, generate_subscripts(string_split_regex(text, '{pattern}'), 1) AS nth FROM docs"""
+
+    cut = " UNION ALL ".join(of(k, p, g) for k, (p, g, _) in enumerate(_SECRETS.values()))
+    least = " ".join(f"WHEN {k} THEN {n}" for k, (*_, n) in enumerate(_SECRETS.values()))
+    names = ", ".join(f"'{name}'" for name in _SECRETS)
+    shown = f"([{names}])[k + 1] || ':' || a || ':' || b"
+    return f"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents
+), cut AS ({cut}
+), placed AS (
+  SELECT rid, k, secret, sum(length(gap) + length(found)) OVER here AS b, sum(length(gap) + length(found)) OVER here - length(found) AS a
+  FROM cut WHERE found IS NOT NULL WINDOW here AS (PARTITION BY rid, k ORDER BY nth)
+), spans AS (
+  SELECT *, doc_id, source FROM placed JOIN docs USING (rid)
+  WHERE length(secret) >= CASE k {least} END AND (k <> 5 OR regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]')
+        AND regexp_matches(secret, '[0-9]') AND len(list_distinct(string_split(secret, ''))) >= 12)
+), owners AS (
+  SELECT secret, count(DISTINCT {{'o': source}}) > 2 OR count(DISTINCT {{'o': source, 'd': doc_id}}) > 10 AS copied FROM spans GROUP BY secret
+), listed AS (
+  SELECT rid, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+         string_agg({shown}, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base,
+         string_agg({shown}, ',' ORDER BY a, k) FILTER (WHERE k < 3 OR NOT copied) AS spans,
+         count(*) FILTER (WHERE NOT copied) AS n_live, count(*) FILTER (WHERE copied) AS n_copied
+  FROM spans JOIN owners USING (secret) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM docs LEFT JOIN listed USING (rid)
+"""
+
+
+#: Edit by edit: inserts are rows of their own, so a turn is one recursion for each way to it.
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE}, cased AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc_of("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate
+  FROM conversations, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE fate WHEN 3 THEN [0, 1] ELSE [0] END) AS again
+  FROM cased WHERE fate <> 0
+), convs AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS conv FROM (SELECT DISTINCT conv_id FROM conversations)
+), sorted AS (
+  SELECT conv, turn, role, text, role[1:1] AS c, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS nth
+  FROM damaged d JOIN convs ON d.conv_id IS NOT DISTINCT FROM convs.conv_id
+), faulty AS (
+  SELECT *, CASE WHEN trim(text, {SPACES}) = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY nth) > 1 THEN 'd'
+                 WHEN right(trim(text, {SPACES}), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(c) OVER (PARTITION BY conv ORDER BY nth) || c NOT IN ('su', 'ua', 'au') AS illegal
+  FROM sorted
+), facts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n, count(*) FILTER (WHERE fault = 'b') AS blank,
+         count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(*) FILTER (WHERE illegal) AS illegal
+  FROM faulty GROUP BY conv
+), goes(q, c, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)
+), inserts(q, r, extra, more) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (2, 3, 5, 'I'), (3, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')
+), edits AS (
+  SELECT conv, nth, q, q AS r, 2 AS price, 'D' AS edit, '' AS line FROM faulty, (SELECT unnest([0, 1, 2, 3]) AS q)
+  UNION ALL SELECT conv, nth, q, r, 5 * (fault = 't')::INT, 'K', role || ':' || text FROM faulty JOIN goes USING (c) WHERE fault NOT IN ('b', 'd')
+  UNION ALL SELECT conv, nth, q, r, 1 + 5 * (fault = 't')::INT, 'R', CASE goes.c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text
+  FROM faulty, goes WHERE goes.c IN ('u', 'a') AND fault NOT IN ('b', 'd')
+), made(r, more, lines) AS (VALUES (2, 'I', ['user:']), (3, 'I', ['assistant:']), (3, 'II', ['user:', 'assistant:']), (0, '', []), (1, '', []), (2, '', []), (3, '', [])
+), path AS (
+  SELECT conv, 0::BIGINT AS nth, 0 AS q, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM convs
+  UNION ALL
+  SELECT p.conv, p.nth + 1, e.r, min({{'cost': p.best.cost + i.extra + e.price, 'audit': p.best.audit || i.more || e.edit,
+         'lines': p.best.lines || m.lines || CASE e.edit WHEN 'D' THEN [] ELSE [e.line] END}})
+  FROM path p JOIN inserts i USING (q) JOIN made m ON m.r = i.r AND m.more = i.more JOIN edits e ON e.conv = p.conv AND e.nth = p.nth + 1 AND e.q = i.r
+  GROUP BY p.conv, p.nth, e.r
+), ended AS (
+  SELECT p.conv, min({{'cost': p.best.cost + i.extra, 'audit': p.best.audit || i.more, 'lines': p.best.lines || m.lines}}) AS best
+  FROM path p JOIN inserts i USING (q) JOIN made m ON m.r = i.r AND m.more = i.more LEFT JOIN facts f USING (conv)
+  WHERE p.nth = coalesce(f.n, 0) AND i.r IN (0, 3) GROUP BY p.conv
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, best.cost AS cost, best.audit AS audit, sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM convs JOIN ended USING (conv) LEFT JOIN facts USING (conv)
+"""
+
+
 OP9_SQL = f"""
 WITH lines AS (
   SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
@@ -227,8 +402,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_line_dedup": op9_line_dedup,
         "op10_compression_bands": op10_compression_bands,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_secret_ownership": op12_secret_ownership,
+        "op13_turn_repair": op13_turn_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_derivatives": _op1_sql(), "op5_prefix_targets": OP5_SQL, "op9_line_dedup": OP9_SQL}
+    return {
+        "op1_warc_derivatives": _op1_sql(),
+        "op5_prefix_targets": OP5_SQL,
+        "op9_line_dedup": OP9_SQL,
+        "op11_importance_resampling": OP11_SQL,
+        "op12_secret_ownership": _op12_sql(),
+        "op13_turn_repair": OP13_SQL,
+    }
