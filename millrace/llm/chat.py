@@ -168,21 +168,28 @@ def segments(turns: DataFrame, block: int = BLOCK) -> DataFrame:
 def _writer(block: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: object = _writer
-        prefix, rows, held, example, open_end = "", [], 0, 0, False
+        prefix, since, size = "", [], 0  # the text up to the block's last example, what came since, and the length of both
+        rows, held, example, open_end = [], 0, 0, False
+
+        def whole() -> str:
+            nonlocal prefix, since
+            prefix, since = "".join([prefix, *since]), []
+            return prefix
 
         def ended() -> list[tuple]:
-            return [(current[0], example, prefix, None, None)] if open_end else []
+            return [(current[0], example, whole(), None, None)] if open_end else []
 
         for ids, blocks, last_blocks, numbers, parts, trainable, starts, stops in slices(batches):
             for conv, b, last, number, segment, reply, start, stop in zip(ids, blocks, last_blocks, numbers, parts, trainable, starts, stops, strict=True):
                 if (conv, b) != current:
                     rows += ended()
-                    current, prefix = (conv, b), ""
-                at, prefix, example = len(prefix), prefix + segment, number
+                    current, prefix, since, size = (conv, b), "", [], 0
+                since.append(segment)
+                at, size, example = size, size + len(segment), number
                 open_end = not reply and b == last
                 if reply and number // block == b:
-                    rows.append((conv, number, prefix, at + start, at + stop))
-                    held += len(prefix)
+                    rows.append((conv, number, whole(), at + start, at + stop))
+                    held += size
                 if held > BATCH_CHARS:
                     yield _emit(rows, EXAMPLES)
                     rows, held = [], 0

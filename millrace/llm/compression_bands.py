@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import quantiles
 from millrace.llm.batches import map_slices
 from millrace.session import cut_lineage
 
@@ -152,9 +153,8 @@ def learned_limits(good: DataFrame) -> dict[bool, Limits]:
     whole = good.select(F.lit(False).alias("chunk"), _length_class(F.col("n_bytes")).alias("size"), F.col("whole_ratio").alias("ratio"))
     parts = good.select(F.explode(F.arrays_zip("chunk_sizes", "chunk_ratios")).alias("c"))
     chunks = parts.select(F.lit(True).alias("chunk"), _length_class(F.col("c.chunk_sizes")).alias("size"), F.col("c.chunk_ratios").alias("ratio"))
-    ends = F.percentile_approx("ratio", F.array(F.lit(LEARNED_TAIL), F.lit(1 - LEARNED_TAIL)), F.lit(10_000)).alias("ends")
-    counted = whole.union(chunks).groupBy("chunk", "size").agg(ends, F.count(F.lit(1)).alias("n"))
-    found = {(r["chunk"], r["size"]): r["ends"] for r in counted.where(F.col("n") >= LEARNED_TEXTS).collect()}
+    counted = quantiles.ends(whole.union(chunks), ["chunk", "size"], "ratio", LEARNED_TAIL, 1 - LEARNED_TAIL)
+    found = {(r["chunk"], r["size"]): (r["low"], r["high"]) for r in counted.where(F.col("n") >= LEARNED_TEXTS).collect()}
     limits: dict[bool, Limits] = {}
     for chunk in (False, True):
         sizes = sorted(size for of_chunk, size in found if of_chunk == chunk)

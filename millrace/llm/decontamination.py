@@ -1,9 +1,12 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every training passage with block-max WAND.
 
 Test items are the indexed side, in slices of a bounded number of postings, each broadcast in turn; the
-training texts stay where they are and are read once for each slice. A text is cut into passages twice as
-long as the longest item of the slice, each half overlapping the next, so every item that a text holds lies
-whole in a passage. Scores are divided by the item's score for itself, so one threshold serves all items.
+training texts stay where they are and are read once for each slice. Items of a slice are indexed by class of
+length: up to ``CLASS_WORDS`` words, and each class after up to ``CLASS_GROWTH`` times as many. For each class a text
+is cut into passages twice as long as the longest item that the class may hold, each half overlapping the next, so every
+item that a text holds lies whole in a passage, and what is found of it depends on the item and the text alone, not on
+the items beside it. A text is cut into words and these into codes once for all classes of a slice.
+Scores are divided by the item's score for itself, so one threshold serves all items.
 
 Items are ordered by length and stand in blocks. For each term the index holds its postings by item, its
 largest weight, and one entry for each block in which it occurs: the largest weight there and the place of its
@@ -27,8 +30,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 from itertools import repeat
 
 import numpy as np
@@ -44,12 +47,14 @@ K1, B = 1.2, 0.75
 SHINGLE_WORDS = 5
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Words of the longest item of the first class, and how many times as many each class has as the one before.
+CLASS_WORDS, CLASS_GROWTH = 32, 4
 #: Block bounds that are summed at a time.
 BOUNDS = 500_000
 SLACK = 1e-9
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
-PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+PAIRS = "item_id long, score double, question_overlap double, answer_overlap double"
 NO_RANGE = np.empty(0, np.int64)
 
 
@@ -77,6 +82,14 @@ def question_and_answer(text: str, answer: str | None) -> tuple[list[str], list[
     return [w for s in sentences[:-1] for w in words_of(s)], words_of(sentences[-1])
 
 
+def class_of(n_words: int) -> int:
+    """The words of the longest item in the class of items of ``n_words``."""
+    longest = CLASS_WORDS
+    while longest < n_words:
+        longest *= CLASS_GROWTH
+    return longest
+
+
 def shingles(coded: np.ndarray, n: int) -> np.ndarray:
     """Distinct 64-bit hashes of the runs of ``n`` terms; a run with an unknown term, -1, is left out."""
     if len(coded) < n or not n:
@@ -122,7 +135,7 @@ class Part:
 
 @dataclass(frozen=True)
 class Index:
-    """A slice of the items. Term t's entries, one for each block, are those from ``entries[t]`` to ``entries[t + 1]``,
+    """The items of one class in a slice. Term t's entries, one for each block, are those from ``entries[t]`` to ``entries[t + 1]``,
     and entry e's postings those from ``first[e]`` to ``first[e + 1]``."""
 
     terms: dict[str, int]
@@ -212,12 +225,11 @@ class Index:
             if ended:
                 cursors = [c for c in cursors if id(c) not in ended]
 
-    def pairs(self, text: str | None, rules: Rules) -> Iterator[tuple[int, float, float, float]]:
-        words = words_of(text)
-        coded = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
-        starts = np.arange(0, max(1, len(words) - self.window // 2), self.window // 2)
-        ends = np.minimum(starts + self.window, len(words))
-        best: dict[int, tuple[float, float, float]] = {}
+    def search(self, coded: np.ndarray, rules: Rules, best: dict[int, tuple[float, float, float]]) -> None:
+        """Put the items that a text holds in ``best``, with the overlaps and the score of their best passage."""
+        step = self.window // 2
+        starts = np.arange(0, max(1, len(coded) - step), step)
+        ends = np.minimum(starts + self.window, len(coded))
         for i, inside in self.open_passages(coded, starts, ends, rules.score):
             passage, seen = coded[starts[i] : ends[i]], {}
             for item, score in self.retrieve(inside, rules.score):
@@ -225,14 +237,40 @@ class Index:
                 row = (asked, told, score)
                 if asked >= rules.question - SLACK and told >= rules.answer - SLACK:
                     best[self.ids[item]] = max(row, best.get(self.ids[item], row))
+
+
+@dataclass(frozen=True)
+class Slice:
+    """The indexes of a slice's classes, with one code for each term and, for each index, its own codes by these."""
+
+    terms: dict[str, int]
+    indexes: list[Index]
+    codes: list[tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, indexes: list[Index]) -> Slice:
+        terms: dict[str, int] = {}
+        codes = []
+        for index in indexes:
+            code = np.array([terms.setdefault(w, len(terms)) for w in index.terms], np.int64)
+            order = np.argsort(code)
+            codes.append((code[order], order))  # an index's own codes are the places of its terms
+        return cls(terms, [replace(index, terms={}) for index in indexes], codes)
+
+    def pairs(self, text: str | None, rules: Rules) -> Iterator[tuple[int, float, float, float]]:
+        words = words_of(text)
+        coded = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
+        best: dict[int, tuple[float, float, float]] = {}
+        for index, (known, own) in zip(self.indexes, self.codes, strict=True):
+            at = np.minimum(np.searchsorted(known, coded), len(known) - 1)
+            index.search(np.where(known[at] == coded, own[at], -1), rules, best)
         for item_id, (asked, told, score) in best.items():
             yield item_id, score, asked, told
 
 
-def build(items: list[tuple[int, str, str | None]], spread: dict[str, int], item_count: int, mean_words: float, rules: Rules) -> Index:
-    """The index of items (id, text, answer); ``spread`` says in how many of all ``item_count`` items each term occurs."""
-    rows = [(item_id, *question_and_answer(text, answer)) for item_id, text, answer in items]
-    rows.sort(key=lambda r: (len({*r[1], *r[2]}), r))
+def build(rows: list[tuple[int, list[str], list[str]]], spread: dict[str, int], item_count: int, mean_words: float, rules: Rules) -> Index:
+    """The index of items (id, question, answer) of one class; ``spread`` says in how many of all ``item_count`` items each term occurs."""
+    rows = sorted(rows, key=lambda r: (len({*r[1], *r[2]}), r))
     terms: dict[str, int] = {}
     parts, kept = [], []
     for question, answer in (r[1:] for r in rows):
@@ -257,7 +295,7 @@ def build(items: list[tuple[int, str, str | None]], spread: dict[str, int], item
     entries = np.searchsorted(term[starts], np.arange(len(terms) + 1))
     return Index(
         terms, np.maximum.reduceat(entry_max, entries[:-1]), entries, block[starts], entry_max, np.concatenate([starts, [len(item)]]),
-        item, weight, [r[0] for r in rows], parts, 2 * max(len(q) + len(a) for _, q, a in rows), rules.block_items,
+        item, weight, [r[0] for r in rows], parts, 2 * class_of(len(rows[0][1]) + len(rows[0][2])), rules.block_items,
     )
 
 
@@ -274,8 +312,8 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["item_key", "term", "tf"])
 
 
-def indexes(items: DataFrame, rules: Rules = Rules(), answer_col: str | None = None) -> Iterator[Index]:
-    """The slices of the index, built one at a time; each holds about ``slice_postings`` postings."""
+def sliced(items: DataFrame, rules: Rules = Rules(), answer_col: str | None = None) -> Iterator[list[Index]]:
+    """The slices of the index, built one at a time, class by class; each holds about ``slice_postings`` postings."""
     answer = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
     texts = items.select(F.col("item_id").cast("long"), "text", answer.alias("answer"))
     texts = texts.where(F.coalesce("text", "answer").isNotNull()).withColumn("text", F.coalesce("text", F.lit(""))).distinct()
@@ -294,30 +332,45 @@ def indexes(items: DataFrame, rules: Rules = Rules(), answer_col: str | None = N
         if rows:
             df = spread.join(worded.select("term").distinct(), "term", "left_semi").toArrow()
             counts = dict(zip(df["term"].to_pylist(), df["df"].to_pylist(), strict=True))
-            yield build([tuple(r.values()) for r in rows], counts, total["items"], total["words"] / total["items"], rules)
+            classes: dict[int, list] = {}
+            for r in rows:
+                question, answer = question_and_answer(r["text"], r["answer"])
+                classes.setdefault(class_of(len(question) + len(answer)), []).append((r["item_id"], question, answer))
+            yield [build(classes[c], counts, total["items"], total["words"] / total["items"], rules) for c in sorted(classes)]
+
+
+def indexes(items: DataFrame, rules: Rules = Rules(), answer_col: str | None = None) -> Iterator[Index]:
+    """All indexes of all slices."""
+    return (index for some in sliced(items, rules, answer_col) for index in some)
 
 
-def _searcher(shared, rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _searcher(shared, rules: Rules, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for ids, texts in slices(batches):
-            out = [(i, *pair) for i, text in zip(ids, texts, strict=True) for pair in index.pairs(text, rules)]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[p.split()[0] for p in PAIRS.split(", ")])
+        found = shared.value
+        for columns in slices(batches):
+            *kept, texts = columns
+            out = [(*row, *pair) for *row, text in zip(*kept, texts, strict=True) for pair in found.pairs(text, rules)]
+            kinds = (*[pa.int64()] * (len(kept) + 1), pa.float64(), pa.float64(), pa.float64())
+            made = zip(*out, strict=True) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(made, kinds, strict=True)], names=names)
 
     return search
 
 
 def leaks(
     docs: DataFrame, items: DataFrame, rules: Rules = Rules(), answer_col: str | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``doc_id, item_id, score, question_overlap, answer_overlap``: the items that each document holds."""
-    rows = docs.select(F.col(id_col).cast("long"), text_col)
-    found = docs.sparkSession.createDataFrame([], PAIRS)
-    for index in indexes(items, rules, answer_col):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        found = found.union(rows.mapInArrow(_searcher(shared, rules), PAIRS))
+    """``doc_id, item_id, score, question_overlap, answer_overlap``: the items that each document holds.
+
+    ``carry`` names further columns of whole numbers that the result keeps, before ``item_id``.
+    """
+    kept = [F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).cast("long") for c in carry)]
+    rows = docs.select(*kept, F.col(text_col).alias("_text"))
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in carry), PAIRS])
+    names = [part.split()[0] for part in schema.split(", ")]
+    found = docs.sparkSession.createDataFrame([], schema)
+    for indexes_of_slice in sliced(items, rules, answer_col):
+        shared = docs.sparkSession.sparkContext.broadcast(Slice.of(indexes_of_slice))
+        found = found.union(rows.mapInArrow(_searcher(shared, rules, names), schema))
     return found

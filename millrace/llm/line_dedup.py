@@ -118,18 +118,16 @@ def apply_bitmaps(
     ``kept_text`` is null where the text is null and no line was dropped.
     """
     bitmaps = cut_lineage(bitmaps)
-    size = bitmaps.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.array_max(F.map_keys("kept")) + 1).alias("words")).first()
+    size = bitmaps.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("kept")).alias("words")).first()
     all_kept = F.lit(-1).cast("long")
-    last = F.array_max(F.map_keys("kept"))
-    # Opened to an array of words before the join: the lines below look their word up by its place.
-    opened = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.try_element_at("kept", w), all_kept))
-    bits = bitmaps.select(
-        F.col("doc").alias("_bitmap_doc"), F.col("text_hash").alias("_bitmap_text"), opened.alias("_bitmap_words")
-    )
+    bits = bitmaps.select(F.col("doc").alias("_bitmap_doc"), F.col("text_hash").alias("_bitmap_text"), F.col("kept").alias("_bitmap"))
     small = size["rows"] <= BROADCAST_ROWS and (size["words"] or 0) <= BROADCAST_WORDS
     bits = F.broadcast(bits) if small else bits.hint("shuffle_hash")
     on = docs[id_col].eqNullSafe(bits["_bitmap_doc"]) & (_text_hash(docs[text_col]) == bits["_bitmap_text"])
-    joined = docs.join(bits, on, "left")
+    # Opened to an array of words after the join: the lines below look their word up by its place.
+    last = F.array_max(F.map_keys("_bitmap"))
+    opened = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.try_element_at("_bitmap", w), all_kept))
+    joined = docs.join(bits, on, "left").withColumn("_bitmap_words", F.when(F.col("_bitmap").isNotNull(), opened))
     lines = _lines(F.col(text_col))
 
     def stays(_: Column, i: Column) -> Column:
@@ -142,4 +140,4 @@ def apply_bitmaps(
         F.when(kept.isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join(kept, "\n"), F.col(text_col)).alias("kept_text"),
     )
-    return joined.withColumn(result, made).drop("_bitmap_doc", "_bitmap_text", "_bitmap_words")
+    return joined.withColumn(result, made).drop("_bitmap_doc", "_bitmap_text", "_bitmap", "_bitmap_words")

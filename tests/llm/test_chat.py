@@ -1,5 +1,6 @@
 import hashlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,3 +87,19 @@ def test_a_long_conversation_spreads_over_tasks_and_blocks(spark):
     assert [r.nth for r in dealt.where("conv_id = 1").orderBy("nth").collect()] == list(range(401))
     got = {r.conv_id: tuple(r)[1:] for r in chat.read_back(chat.expand(df, 10)).collect()}
     assert got[1] == digest(turns) and got[7] == digest([("user", "hi")]) and len(got) == 299
+
+
+def test_writer_is_linear_in_what_stands_before_a_block():
+    """Segments before a block are joined once; the examples are those of plain prefixes."""
+    import time
+
+    def batch(n, reply_at):
+        columns = {"conv_id": [1] * n, "block": [1] * n, "last_block": [1] * n, "example": [256 if i >= reply_at else 0 for i in range(n)],
+                   "segment": [f"{i:06d}" + "x" * 190 for i in range(n)], "trainable": [i == n - 1 for i in range(n)], "body_start": [0] * n, "body_end": [5] * n}
+        return pa.RecordBatch.from_pydict(columns)
+
+    start = time.perf_counter()
+    (rows,) = [b for b in chat._writer(256)(iter([batch(20_480, 20_000)])) if b.num_rows]
+    assert time.perf_counter() - start < 2
+    (row,) = rows.to_pylist()
+    assert row["text"] == "".join(f"{i:06d}" + "x" * 190 for i in range(20_480)) and row["loss_start"] == 196 * 20_479

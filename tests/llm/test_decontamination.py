@@ -110,3 +110,18 @@ def test_odd_rows_and_empty_tables(spark, odd_documents, documents):
     assert D.leaks(documents([]), items(spark)).count() == 0
     assert D.leaks(documents([(1, ITEMS[0][1])]), items(spark, [])).count() == 0
     assert [r.item_id for r in D.leaks(documents([(1, ITEMS[0][1])] * 2), items(spark)).collect()] == [1, 1]
+
+
+@pytest.mark.parametrize("slice_postings", [20, 100, 1_000_000])
+def test_what_is_found_does_not_depend_on_slices_or_companions(spark, documents, slice_postings):
+    rng = random.Random(12)
+    question, answer = "Which seven rivers of the plain run north all year?", "The lower Ember does."
+    long = (2, " ".join(f"long{rng.randrange(10**6)}" for _ in range(1800)) + ".")
+    apart = f"{question} {' '.join(f'gap{i}' for i in range(300))} {answer}"
+    near = f"{question} {' '.join(f'gap{i}' for i in range(15))} {answer}"
+    docs = documents([(1, apart), (2, near), (3, f"before {long[1]} after"), (4, f"{long[1]} {near}")])
+    rows = [(1, f"{question} {answer}"), *[(10 + i, noise(rng, rng.choice([4, 40, 200]))) for i in range(12)]]
+    rules = D.Rules(slice_postings=slice_postings)
+    with_long = {(r.doc_id, r.item_id) for r in D.leaks(docs, items(spark, [*rows, long]), rules).collect()}
+    without = {(r.doc_id, r.item_id) for r in D.leaks(docs, items(spark, rows), rules).collect()}
+    assert with_long == {(2, 1), (4, 1), (3, 2), (4, 2)} and without == {(2, 1), (4, 1)}
