@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, language_id, line_dedup, mixing, shingle_copies
+from millrace.llm import decontamination, language_id, line_dedup, mixing, quantiles, shingle_copies
 from millrace.llm.text import held_out
 from millrace.session import cut_lineage, table
 
@@ -25,28 +25,34 @@ LANGUAGE_QUANTILE, LANGUAGE_MARGIN = 0.99, 0.15
 #: Learned documents of one language and length class from which the class has a limit of its own.
 CLASS_DOCS = 20
 REPEATED_LINE_DOCS = 10
-#: Up to so many ids of 8 bytes are broadcast.
+#: Up to so many pairs of 16 bytes are broadcast.
 BROADCAST_IDS = 500_000
 MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS = (5, 2, 1), 1.5, 2.0
 #: What the last stage adds: which repetition of its document a row is, and its source's target in words.
 COPY, TARGET = "mix_copy", "mix_target_words"
 #: Columns that a stage adds for its own use and drops again.
-TEXT_HASH, LINES = "_stage_text_hash", "_stage_lines"
+TEXT_HASH, OTHER_HASH, LINES = "_stage_text_hash", "_stage_other_hash", "_stage_lines"
 
 
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def other_hash(text: Column) -> Column:
+    """A second hash of 64 bits: with the first, no two texts of a corpus are taken for one."""
+    return F.xxhash64(F.lit(1), F.coalesce(text, F.lit("")))
+
+
 def _without_texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text is among ``hashes(doc_id)``, for verdicts that the text alone decides.
+    """``docs`` without the rows whose text is among ``hashes(doc_id, OTHER_HASH)``, for verdicts that the text alone decides.
 
     A list of proven length is broadcast, so the texts stay where they are; a longer one is shuffled.
     """
-    named = cut_lineage(hashes.select(F.col("doc_id").alias("_stage_hash")).distinct())
+    named = cut_lineage(hashes.select(F.col("doc_id").alias("_stage_hash"), F.col(OTHER_HASH).alias("_stage_hash2")).distinct())
     if named.count() <= BROADCAST_IDS:
         named = F.broadcast(named)
-    return docs.join(named, text_hash(docs["text"]) == named["_stage_hash"], "left_anti")
+    same = (text_hash(docs["text"]) == named["_stage_hash"]) & (other_hash(docs["text"]) == named["_stage_hash2"])
+    return docs.join(named, same, "left_anti")
 
 
 def _by_pair(hashed: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
@@ -64,9 +70,8 @@ def language_limits(found: DataFrame) -> DataFrame:
     Only learned documents whose nearest profile is their own language count. There is a row for each language and class.
     """
     own = found.where(F.col("learned") & (F.col("lang") == F.col("lang_pred")))
-    high = F.percentile_approx("distance", F.lit(LANGUAGE_QUANTILE), F.lit(10_000))
-    by_class = own.groupBy("lang_pred", "size").agg(high.alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= CLASS_DOCS)
-    of_all = own.groupBy("lang_pred").agg(high.alias("high"), F.lit(CLASS_DOCS).cast("long").alias("n"))
+    by_class = quantiles.ends(own, ["lang_pred", "size"], "distance", 0.0, LANGUAGE_QUANTILE).where(F.col("n") >= CLASS_DOCS)
+    of_all = quantiles.ends(own, ["lang_pred"], "distance", 0.0, LANGUAGE_QUANTILE)
     both = by_class.unionByName(of_all.withColumn("size", F.lit(None).cast("int")))
     return cut_lineage(both.select("lang_pred", "size", (F.col("high") + LANGUAGE_MARGIN).alias("most")))
 
@@ -79,8 +84,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is_learned = ~held_out(F.col("doc_id"))
     profiles = language_id.fit(docs.where(is_learned))
     size = F.floor(F.log2(F.char_length("text") + 1)).cast("int")
-    hashed = docs.select(text_hash(F.col("text")).alias(TEXT_HASH), "text", "lang", is_learned.alias("learned"), size.alias("size"))
-    found = cut_lineage(language_id.predict(hashed, profiles, TEXT_HASH, carry="lang string, learned boolean, size int"))
+    hashes = text_hash(F.col("text")).alias(TEXT_HASH), other_hash(F.col("text")).alias(OTHER_HASH)
+    hashed = docs.select(*hashes, "text", "lang", is_learned.alias("learned"), size.alias("size"))
+    found = cut_lineage(language_id.predict(hashed, profiles, TEXT_HASH, carry=f"{OTHER_HASH} long, lang string, learned boolean, size int"))
     limits = language_limits(found)
     of_all = limits.where("size IS NULL").select("lang_pred", F.col("most").alias("most_of_all"))
     of_class = limits.where("size IS NOT NULL").select("lang_pred", "size", F.col("most").alias("most_of_class"))
@@ -121,7 +127,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a benchmark item; null and empty texts and items hold nothing."""
     items = table(spark, sf_dir, "benchmark")
-    return _without_texts(docs, decontamination.leaks(docs.withColumn(TEXT_HASH, text_hash(F.col("text"))), items, id_col=TEXT_HASH))
+    hashed = docs.select(text_hash(F.col("text")).alias(TEXT_HASH), other_hash(F.col("text")).alias(OTHER_HASH), "text")
+    return _without_texts(docs, decontamination.leaks(hashed, items, id_col=TEXT_HASH, carry=[OTHER_HASH]))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
