@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.money import tokens
+from millrace.operators import spread
 from millrace.operators import state as S
 from millrace.plans.book import Book
 from millrace.plans.log import LOG_SQL, event_log, turn_log
@@ -124,9 +125,32 @@ def rollover_segments(spark, sf_dir):
   FROM (SELECT r.*, i.n AS n2, r.n_items + 1 > 12 OR r.n_bytes + i.b > 20000 OR r.n_tokens + i.t > 4500 AS f FROM r JOIN i ON i.source = r.source AND i.n = r.n + 1) x JOIN i ON i.source = x.source AND i.n = x.n2)
 SELECT source, doc_id, shard, n_items, n_bytes, n_tokens FROM r""")
 def shard_packing(spark, sf_dir):
-    items = table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("b"), tokens(F.col("text")).alias("t"))
-    schema = "source string, doc_id long, shard long, n_items long, n_bytes long, n_tokens long"
-    return S.fold(items, "source", ["doc_id"], ["doc_id", "b", "t"], S.pack(12, 20_000, 4_500), schema)
+    items = table(spark, sf_dir, "documents").select(
+        "source", "doc_id", F.lit(1).cast("long").alias("items"), F.octet_length("text").cast("long").alias("bytes"), tokens(F.col("text")).alias("tokens")
+    )
+    packs = spread.packed(items, "source", ["doc_id"], {"items": 12, "bytes": 20_000, "tokens": 4_500})
+    return packs.select("source", "doc_id", "shard", *(F.col(f"held_{c}").alias(f"n_{c}") for c in ("items", "bytes", "tokens")))
+
+
+_SAMPLED = """x AS (SELECT *, lead(at_us) OVER (PARTITION BY session_id ORDER BY seq) AS next_at FROM log),
+r AS (SELECT *, next_at IS NULL OR next_at - at_us >= 43200000000 AS rests, CASE WHEN kind IN ('click', 'purchase') THEN k END AS hint FROM x),
+n AS (SELECT *, least((SELECT min(b.seq) FROM log b WHERE b.session_id = r.session_id AND b.at_us >= r.at_us + 14400000000),
+  (SELECT min(b.seq) + 1 FROM r b WHERE b.session_id = r.session_id AND b.seq >= r.seq AND b.rests AND b.next_at IS NOT NULL)) AS following FROM r WHERE seq > 0)"""
+
+
+@book.query(f"""WITH RECURSIVE {LOG_SQL}, {_SAMPLED}, w AS (
+  SELECT session_id, 0::BIGINT AS "window", seq, following FROM n WHERE seq = 1
+  UNION ALL SELECT n.session_id, w."window" + 1, n.seq, n.following FROM w JOIN n ON n.session_id = w.session_id AND n.seq = w.following),
+p AS (SELECT r.session_id, r.seq, r.at_us, r.rests, r.hint, coalesce(max(w."window"), -1) AS "window" FROM r LEFT JOIN w ON w.session_id = r.session_id AND w.seq <= r.seq GROUP BY ALL)
+SELECT session_id, 'active' AS activity, "window", min(seq) AS first_seq, max(seq) AS last_seq,
+  CASE WHEN "window" < 0 THEN min(at_us) ELSE least(min(at_us) + 14400000000, max(at_us) + 43200000000) END AS emitted,
+  CASE WHEN "window" >= 0 THEN arg_max(hint, seq) FILTER (WHERE hint IS NOT NULL) END AS hint FROM p GROUP BY session_id, "window"
+UNION ALL SELECT session_id, 'paused', "window", seq, seq, at_us + 43200000000, NULL FROM p WHERE rests""")
+def sampler_windows(spark, sf_dir):
+    """A trailing throttle of four hours and one paused frame after twelve, over each user's events as activities."""
+    hour = 3_600_000_000
+    log = event_log(spark, sf_dir).withColumn("hint", F.when(F.col("kind").isin("click", "purchase"), F.col("k")))
+    return spread.sampled(log, "session_id", ["at_us", "seq"], "at_us", 4 * hour, 12 * hour, "hint")
 
 
 @book.query()
