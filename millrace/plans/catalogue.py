@@ -14,6 +14,7 @@ from millrace.plans import (
     sequence_queries,
     source_queries,
     state_queries,
+    stream_queries,
 )
 from millrace.plans.book import Query
 
@@ -31,6 +32,7 @@ BOOKS = tuple(
         state_queries,
         harness_queries,
         source_queries,
+        stream_queries,
     )
 )
 

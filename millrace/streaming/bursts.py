@@ -2,67 +2,95 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from millrace.streaming.running import read_files, to_the_end
 
 OUTPUT = "session_id long, n_events long, start_us long, end_us long"
-STATE = "n long, start_us long, end_us long"
-
-
-def _advance(gap_us: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Close every burst that a later event, or the end of the log, shows to be over; the last stays in the state."""
-        open_burst = state.get if state.exists else None
-        times, last = [], False
-        for batch in batches:
-            times += batch["at_us"].tolist()
-            last |= bool(batch["is_end"].any())
-        closed = []
-        for at in sorted(t for t in times if t is not None and t >= 0):
-            if open_burst and at - open_burst[2] < gap_us:
-                # An event that comes late stretches the open burst; it never moves its end back.
-                open_burst = (open_burst[0] + 1, min(open_burst[1], at), max(open_burst[2], at))
-            else:
-                if open_burst:
-                    closed.append(open_burst)
-                open_burst = (1, at, at)
-        if last and open_burst:
-            closed.append(open_burst)
-            open_burst = None
-        if open_burst:
-            state.update(open_burst)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(key[0], *b) for b in closed], columns=[p.split()[0] for p in OUTPUT.split(", ")])
-
-    return step
+Burst = tuple[int, int, int]
 
 
-def closed_bursts(events: DataFrame, gap_us: int) -> DataFrame:
-    """Finished bursts of a stream of ``session_id, at_us, is_end``; a row with ``is_end`` closes its session's last one."""
-    grouped = events.groupBy("session_id")
-    return grouped.applyInPandasWithState(_advance(gap_us), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def partial_bursts(times: np.ndarray, gap_us: int) -> list[Burst]:
+    """``(n, start, end)`` of each run of times whose gaps are below ``gap_us``."""
+    times = np.sort(times)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(times) >= gap_us]))
+    ends = np.concatenate([starts[1:], [len(times)]])
+    return [(int(b - a), int(times[a]), int(times[b - 1])) for a, b in zip(starts, ends, strict=True)]
+
+
+def merged(one: list[Burst], other: list[Burst], gap_us: int) -> list[Burst]:
+    """Two lists of bursts as one: those less than ``gap_us`` apart, or that overlap, are one burst."""
+    out: list[Burst] = []
+    for n, start, end in sorted([*one, *other], key=lambda b: b[1]):
+        if out and start - out[-1][2] < gap_us:
+            m, first, last = out[-1]
+            out[-1] = (m + n, first, max(last, end))
+        else:
+            out.append((n, start, end))
+    return out
 
 
-def run_once(spark: SparkSession, path: str, gap_us: int) -> DataFrame:
-    """All bursts of the event files at ``path``: one pass over what is there, each session's end included, written out and read back.
+class Bursts(StatefulProcessor):
+    """Holds a session's bursts that an event yet to come may stretch or join, and no times.
 
-    Results and progress lie in the shared checkpoint folder, so a restarted query goes on where it stopped.
+    Each Arrow batch of a micro-batch is folded into partial bursts by itself. A burst is closed by a timer, once the
+    watermark is ``gap_us`` beyond its end.
     """
-    from millrace.session import shared_folder
 
-    folder = f"{shared_folder(spark)}/bursts-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
-    parent, name = path.rsplit("/", 1)
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(parent)
+    def __init__(self, gap_us: int) -> None:
+        self.gap_us = gap_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "start_us long", "n long, end_us long")
+
+    def _held(self) -> list[Burst]:
+        return [(n, start, end) for (start,), (n, end) in self.open.iterator()]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = before = self._held()
+        for batch in rows:
+            times = batch["at_us"].dropna().to_numpy(np.int64)
+            if len(times):
+                held = merged(held, partial_bursts(times, self.gap_us), self.gap_us)
+        for n, start, end in set(before) - set(held):
+            self.open.removeKey((start,))
+        for n, start, end in set(held) - set(before):
+            self.open.updateValue((start,), (n, end))
+            self.handle.registerTimer(-(-(end + self.gap_us) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        closed = [b for b in self._held() if b[2] + self.gap_us <= upto]
+        for _, start, _ in closed:
+            self.open.removeKey((start,))
+        if closed:
+            yield pd.DataFrame([(key[0], *b) for b in closed], columns=[p.split()[0] for p in OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def closed_bursts(events: DataFrame, gap_us: int) -> DataFrame:
+    """Finished bursts of a stream of ``session_id, at_us`` that has a watermark."""
+    return events.groupBy("session_id").transformWithStateInPandas(Bursts(gap_us), OUTPUT, "Append", "EventTime")
+
+
+def run_once(spark: SparkSession, path: str, gap_us: int, files_per_batch: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """All bursts of the event files at ``path``, in as many micro-batches as ``files_per_batch`` makes.
+
+    Rows that are later than ``delay`` behind the latest of the batches before are lost, as with any watermark.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    kinds = F.array(F.struct(at.alias("at_us"), F.lit(False).alias("is_end")), F.struct(F.lit(-1).cast("long").alias("at_us"), F.lit(True).alias("is_end")))
-    rows = raw.select(F.col("user_id").alias("session_id"), F.explode(kinds).alias("e")).select("session_id", "e.*")
-    writer = closed_bursts(rows, gap_us).writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress")
-    writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    rows = read_files(spark, path, files_per_batch).select(F.col("user_id").alias("session_id"), at.alias("at_us"), F.floor(at / 1000).alias("at_ms"))
+    last = spark.read.parquet(path).agg(F.max(at)).first()[0] or 0
+    seconds = spark.sql(f"SELECT unix_micros(timestamp '1970-01-01 00:00:00' + interval {delay})").first()[0]
+    found = to_the_end(spark, rows, "at_ms", (last + gap_us + seconds) // 1000 + 2, lambda timed: closed_bursts(timed, gap_us), delay)
+    return found.where("session_id IS NOT NULL")
