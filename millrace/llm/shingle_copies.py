@@ -214,7 +214,7 @@ def clouds(made: DataFrame, tile: int = TILE) -> DataFrame:
     distinct = cut_lineage(made.dropDuplicates(["fp"]).select("fp", "segments", "least"))
     near = partial(spanning_links, max_bits=CANDIDATE_BITS)
     met = cut_lineage(links_of_keys(distinct.mapInArrow(_key_rows, "key long, fp long"), tile, near, CANDIDATE_BITS))
-    roots = components(met).distinct().select(F.col("node").alias("fp"), "root")
+    roots = components(met, many=True).distinct().select(F.col("node").alias("fp"), "root")
     nodes = made.groupBy("node").agg(F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"))
     placed = cut_lineage(nodes.join(roots, "fp", "left").select("node", "text_hash", "size", F.coalesce("root", "fp").alias("cloud")))
     several = placed.groupBy("cloud").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).where("n > 1")
