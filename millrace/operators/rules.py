@@ -106,44 +106,83 @@ def _slot(session: str, timer: str) -> Column:
     return F.struct(F.col(session).alias("s"), F.col(timer).cast("long").alias("t")).alias("slot")
 
 
-def view(log: PolicyLog) -> DataFrame:
-    """Each action with the facts that the rules read; actions keep their columns."""
-    actions = cut_lineage(parsed(log.actions))
-    events = cut_lineage(with_dispositions(log.events, actions))
-    changes = cut_lineage(log.timer_changes)
-    about = F.struct("kind", "text", "timer", "succeeded", "done_at")
-    target = events.select(SESSION, F.col(SEQ).alias("target_seq"), about.alias("target"))
-    marked = events.select(SESSION, F.col(SEQ).alias("mark_seq"), F.struct("kind", "text").alias("mark"))
-    asked = requests(actions, events)
-    out = actions.join(target, [SESSION, "target_seq"], "left").join(marked, [SESSION, "mark_seq"], "left")
-    out = out.join(asked.select(SESSION, SEQ, "is_repeat"), [SESSION, SEQ], "left")
-
-    snapshots = events.where("kind = 'snapshot'").select(SESSION, F.col(SEQ).alias("at"), F.col(SEQ).alias("seq_of"), (F.col("active") | F.col("composing")).alias("owned"))
-    results = events.where("kind = 'result'").withColumn("result_seq", F.col(SEQ))
-    by_end = Window.partitionBy(SESSION).orderBy("done_at").rangeBetween(Window.unboundedPreceding, 0)
-    handled = events.where("done_at IS NOT NULL").select(SESSION, (F.col("done_at") + 1).alias("at"), F.min(SEQ).over(by_end).alias("first")).distinct()
-    tables = {
-        "snapshot": snapshots, "succeeded_now": oldest_open(results.where("succeeded"), ["result_seq"]),
-        "failed_now": oldest_open(results.where("NOT succeeded"), ["result_seq"]), "pending_now": oldest_open(asked, ["fact_seq"]),
-        "handled_now": handled, "timers_now": active_counts(changes),
-    }
-    out = cut_lineage(as_of_many(out, SESSION, SEQ, tables))
+#: What each fact group adds to an action; a rule names those that it reads.
+FACTS = ("target", "mark", "repeat", "snapshot", "results", "pending", "handled", "timers", "timer_active", "schedules", "marks")
+NEEDS = {
+    "malformed_action": (), "payload_limit_exceeded": (), "unknown_reference": ("target", "mark", "timer_active"),
+    "reason_mismatch": ("target", "snapshot", "results", "pending", "handled", "timer_active"), "span_mismatch": ("target", "mark", "snapshot"),
+    "result_not_ready": ("target",), "fire_not_open": ("target",), "timer_not_active": ("target", "timers", "timer_active"),
+    "duplicate_schedule": ("target", "snapshot", "schedules"), "duplicate_tool_request": ("repeat",), "floor_owned": ("snapshot",),
+    "target_already_handled": ("target", "marks"), "timer_limit_exceeded": ("timers",), "stale_decision": ("snapshot",),
+}
+
+
+def view(log: PolicyLog, needs: Sequence[str] = FACTS) -> DataFrame:
+    """Each action with the facts of the groups in ``needs``; actions keep their columns. What no group needs is not computed.
+
+    With all groups the plan is cut where it grows, else it stays one plan, whose scans read the columns of these facts alone.
+    """
+    has = set(needs) | ({"target"} if "timer_active" in needs else set())
+    cut = cut_lineage if len(has) > 6 else lambda df: df
+    actions = cut(parsed(log.actions))
+    done = has & {"target", "mark", "results", "handled", "repeat", "pending", "snapshot"}
+    events = cut(with_dispositions(log.events, actions) if has & {"target", "results", "handled"} else log.events) if done else None
+    out = actions
+    if "target" in has:
+        about = F.struct("kind", "text", "timer", "succeeded", "done_at")
+        out = out.join(events.select(SESSION, F.col(SEQ).alias("target_seq"), about.alias("target")), [SESSION, "target_seq"], "left")
+    if "mark" in has:
+        out = out.join(events.select(SESSION, F.col(SEQ).alias("mark_seq"), F.struct("kind", "text").alias("mark")), [SESSION, "mark_seq"], "left")
+    asked = requests(actions, events) if has & {"repeat", "pending"} else None
+    if "repeat" in has:
+        out = out.join(asked.select(SESSION, SEQ, "is_repeat"), [SESSION, SEQ], "left").withColumn("is_repeat", F.coalesce("is_repeat", F.lit(False)))
+
+    tables: dict[str, DataFrame] = {}
     held = lambda name, column: F.when(F.col(SEQ) <= F.col(f"{name}.to_seq"), F.col(f"{name}.{column}"))
-    meant = F.when(F.col("type") == "cancel", F.col("timer").cast("long")).otherwise(F.col("target.timer").cast("long"))
-    out = out.withColumns({
-        "latest_snapshot": F.col("snapshot.seq_of"), "floor_owned": F.coalesce("snapshot.owned", F.lit(False)),
-        "newer_snapshot": F.coalesce(F.col("snapshot.seq_of") > F.col("observed_seq"), F.lit(False)),
-        "oldest_succeeded": held("succeeded_now", "result_seq"), "oldest_failed": held("failed_now", "result_seq"),
-        "oldest_pending_fact": held("pending_now", "fact_seq"), "earliest_handled": F.col("handled_now.first"),
-        "n_active_timers": F.coalesce("timers_now.n_active", F.lit(0)).cast("long"), "is_repeat": F.coalesce("is_repeat", F.lit(False)),
-        "_timer": meant,
-    }).drop(*tables).withColumn("slot", _slot(SESSION, "_timer"))
-    statuses = changes.select(_slot(SESSION, "timer"), (F.col(SEQ) + 1).alias("at"), "active")
-    out = as_of(out, statuses, "slot", SEQ, "at", ["active"]).withColumnRenamed("as_of_active", "timer_active").drop("slot", "_timer")
-    same = Window.partitionBy(SESSION, "type", "interval_ms", "message").orderBy(SEQ)
-    mark = Window.partitionBy(SESSION, "type", "target_seq", "mark_seq", "span_start").orderBy(SEQ)
-    # Written out before any rule reads it: the rules are then conditions over plain columns, whatever the plan behind them.
-    return cut_lineage(out.withColumn("nth_schedule", F.row_number().over(same)).withColumn("nth_mark", F.row_number().over(mark)))
+    facts: dict[str, Column] = {}
+    if "snapshot" in has:
+        owned = (F.col("active") | F.col("composing")).alias("owned")
+        tables["snapshot"] = events.where("kind = 'snapshot'").select(SESSION, F.col(SEQ).alias("at"), F.col(SEQ).alias("seq_of"), owned, "text")
+        facts |= {
+            "latest_snapshot": F.col("snapshot.seq_of"), "latest_text": F.col("snapshot.text"), "floor_owned": F.coalesce("snapshot.owned", F.lit(False)),
+            "newer_snapshot": F.coalesce(F.col("snapshot.seq_of") > F.col("observed_seq"), F.lit(False)),
+        }
+    if "results" in has:
+        results = events.where("kind = 'result'").withColumn("result_seq", F.col(SEQ))
+        tables |= {"succeeded_now": oldest_open(results.where("succeeded"), ["result_seq"]), "failed_now": oldest_open(results.where("NOT succeeded"), ["result_seq"])}
+        facts |= {"oldest_succeeded": held("succeeded_now", "result_seq"), "oldest_failed": held("failed_now", "result_seq")}
+    if "pending" in has:
+        tables["pending_now"] = oldest_open(asked, ["fact_seq"])
+        facts["oldest_pending_fact"] = held("pending_now", "fact_seq")
+    if "handled" in has:
+        by_end = Window.partitionBy(SESSION).orderBy("done_at").rangeBetween(Window.unboundedPreceding, 0)
+        first = F.min(SEQ).over(by_end).alias("first")
+        tables["handled_now"] = events.where("done_at IS NOT NULL").select(SESSION, (F.col("done_at") + 1).alias("at"), first).distinct()
+        facts["earliest_handled"] = F.col("handled_now.first")
+    if "timers" in has:
+        tables["timers_now"] = active_counts(log.timer_changes)
+        facts["n_active_timers"] = F.coalesce("timers_now.n_active", F.lit(0)).cast("long")
+    if tables:
+        out = cut(as_of_many(out, SESSION, SEQ, tables)).withColumns(facts).drop(*tables)
+    if "timer_active" in has:
+        meant = F.when(F.col("type") == "cancel", F.col("timer").cast("long")).otherwise(F.col("target.timer").cast("long"))
+        statuses = log.timer_changes.select(_slot(SESSION, "timer"), (F.col(SEQ) + 1).alias("at"), "active")
+        out = as_of(out.withColumn("_timer", meant).withColumn("slot", _slot(SESSION, "_timer")), statuses, "slot", SEQ, "at", ["active"])
+        out = out.withColumnRenamed("as_of_active", "timer_active").drop("slot", "_timer")
+    nth = lambda *by: F.row_number().over(Window.partitionBy(SESSION, "type", *by).orderBy(SEQ))
+    if "schedules" in has:
+        span = ("span_start", "span_end", "span_text")
+        out = out.withColumns({"nth_of_span": nth(*span), "nth_of_instruction": nth("target_seq", *span)})
+    if "marks" in has:
+        out = out.withColumn("nth_mark", nth("target_seq", "mark_seq", "span_start"))
+    return cut(out)
+
+
+def semantic_repeats(actions: DataFrame) -> DataFrame:
+    """Schedules that ask for the interval and message of an earlier one of their session, whatever their instruction."""
+    same = Window.partitionBy(SESSION, "interval_ms", "message").orderBy(SEQ)
+    asked = parsed(actions).where("type = 'schedule'").withColumn("nth", F.row_number().over(same))
+    return asked.where("nth > 1").select(SESSION, SEQ, "interval_ms", "message", "nth")
 
 
 def _slice_differs(event: str) -> Column:
@@ -168,6 +207,7 @@ def rules(limits: Limits = Limits()) -> dict[str, Column]:
     respond = F.when((target == "result") & failed & is_open, differs("oldest_failed")).when(
         target == "snapshot", c("oldest_failed").isNotNull() | differs("latest_snapshot")
     )
+    in_latest = utf16.piece(c("latest_text"), c("span_start"), c("span_end"))
     canceled = (target == "fire") & ~F.coalesce("timer_active", F.lit(True))
     skip = F.when(c("reason") == CANCELED_TIMER, ~F.coalesce(canceled, F.lit(False))).otherwise(~F.coalesce(target == "result", F.lit(False)))
     held = {
@@ -184,7 +224,9 @@ def rules(limits: Limits = Limits()) -> dict[str, Column]:
         "timer_not_active": F.when((kind == "nudge") & (target == "fire") | one_timer, ~F.coalesce("timer_active", F.lit(False))).when(
             kind == "cancel", c("n_active_timers") == 0
         ),
-        "duplicate_schedule": (kind == "schedule") & (c("nth_schedule") > 1),
+        # A timer's instruction is where it was given, and where it stands in the latest snapshot if that still has it there.
+        "duplicate_schedule": (kind == "schedule")
+        & ((c("nth_of_instruction") > 1) | ((c("nth_of_span") > 1) & (c("target_seq") == c("latest_snapshot")) & (in_latest == c("span_text")))),
         "duplicate_tool_request": (kind == "delegate") & c("is_repeat"),
         "floor_owned": (kind == "respond") & c("floor_owned"),
         "target_already_handled": ((kind == "mark") & (c("nth_mark") > 1))

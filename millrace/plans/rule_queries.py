@@ -36,7 +36,7 @@ VIEW_SQL = f"""WITH {POLICY_SQL}, counted AS (
        LEFT JOIN counted n ON n.session_id = a.session_id AND n.seq = a.seq
 ), v AS MATERIALIZED (
   SELECT a.*, coalesce(l.active OR l.composing, false) AS floor_owned, coalesce(a.latest_snapshot > a.observed_seq, false) AS newer_snapshot, {_STATUS.format('a.meant')} AS timer_active,
-         row_number() OVER (PARTITION BY a.session_id, a.type, interval_ms, message ORDER BY a.seq) AS nth_schedule,
+         l.text AS l_text,
          row_number() OVER (PARTITION BY a.session_id, a.type, target_seq, mark_seq, span_start ORDER BY a.seq) AS nth_mark
   FROM seen a LEFT JOIN ev l ON l.session_id = a.session_id AND l.seq = a.latest_snapshot
 )"""
@@ -59,7 +59,9 @@ _RULES_SQL = {
     "fire_not_open": "type = 'nudge' AND NOT coalesce(t_kind = 'fire' AND t_open, false)",
     "timer_not_active": """type = 'nudge' AND t_kind = 'fire' AND NOT coalesce(timer_active, false)
       OR type = 'cancel' AND CASE WHEN cancel_all THEN n_active_timers = 0 ELSE NOT coalesce(timer_active, false) END""",
-    "duplicate_schedule": "type = 'schedule' AND nth_schedule > 1",
+    "duplicate_schedule": """type = 'schedule' AND EXISTS (SELECT 1 FROM act b WHERE b.session_id = v.session_id AND b.seq < v.seq AND b.type = 'schedule'
+      AND b.span_start = v.span_start AND b.span_end = v.span_end AND b.span_text = v.span_text AND (b.target_seq = v.target_seq
+      OR v.target_seq = v.latest_snapshot AND length(l_text) >= v.span_end AND substr(l_text, v.span_start + 1, v.span_end - v.span_start) = v.span_text))""",
     "duplicate_tool_request": "type = 'delegate' AND is_repeat",
     "floor_owned": "type = 'respond' AND floor_owned",
     "target_already_handled": """type = 'mark' AND nth_mark > 1 OR type IN ('integrate', 'skip') AND NOT coalesce(t_kind IN ('fire', 'result') AND t_open, false)
@@ -86,12 +88,18 @@ def _enter(code: str) -> None:
 
     @book.query(f"{VIEW_SQL}{marked} SELECT session_id, seq, type, target_seq FROM w WHERE hit", name=f"rule_{code}")
     def blocked(spark, sf_dir):
-        return R.view(policy_log(spark, sf_dir)).where(R.rules()[code]).select("session_id", "seq", "type", "target_seq")
+        return R.view(policy_log(spark, sf_dir), R.NEEDS[code]).where(R.rules()[code]).select("session_id", "seq", "type", "target_seq")
 
 
 for _code in R.CODES:
     _enter(_code)
 
+@book.query(f"""WITH {POLICY_SQL} SELECT session_id, seq, interval_ms, message, CAST(nth AS INTEGER) AS nth FROM (
+  SELECT *, row_number() OVER (PARTITION BY session_id, interval_ms, message ORDER BY seq) AS nth FROM act WHERE type = 'schedule') WHERE nth > 1""")
+def semantic_duplicate_schedule(spark, sf_dir):
+    return R.semantic_repeats(policy_log(spark, sf_dir).actions)
+
+
 _LADDER = "[" + ", ".join(f"CASE WHEN {_broken(code)} THEN '{code}' END" for code in R.CODES) + "]"
 
 
