@@ -91,6 +91,17 @@ def bijection(left: DataFrame, right: DataFrame, keys: Sequence[str], compared:
     return both.withColumn("reason", reason).where("reason IS NOT NULL").select(*keys, "reason")
 
 
+def set_differences(left: DataFrame, right: DataFrame, keys: Sequence[str], problems: tuple[str, str, str]) -> DataFrame:
+    """Keys that keep two tables from being equal sets: only on the left, only on the right, or repeated on a side; nulls are keys.
+
+    Both sides are counted before they meet, so a key repeated any number of times is one row of the join.
+    """
+    counted = [df.select(*keys, F.lit(s == 0).cast("long").alias("_l"), F.lit(s == 1).cast("long").alias("_r")) for s, df in enumerate((left, right))]
+    both = counted[0].unionByName(counted[1]).groupBy(*keys).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
+    problem = F.when(F.col("_r") == 0, problems[0]).when(F.col("_l") == 0, problems[1]).when((F.col("_l") > 1) | (F.col("_r") > 1), problems[2])
+    return both.select(*keys, problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def zip_rows(left: DataFrame, right: DataFrame, key: str, left_order: Sequence[str], right_order: Sequence[str]) -> DataFrame:
     """Rows of equal place in each group side by side, all columns of both but the key once; places without a partner have nulls."""
     def placed(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from millrace.plans import (
     aggregate_queries,
     corpus_queries,
+    fidelity_queries,
     harness_queries,
     join_queries,
     metric_queries,
@@ -33,6 +34,7 @@ BOOKS = tuple(
         harness_queries,
         source_queries,
         stream_queries,
+        fidelity_queries,
     )
 )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import joins as J
+from millrace.operators.prefixes import running_digests
 from millrace.plans.book import Book
 from millrace.plans.log import LOG_SQL, event_log, turn_log
 from millrace.session import table
@@ -45,7 +46,7 @@ def decision_segment_containment(spark, sf_dir):
 @book.query("""SELECT conv_id, turn, sha256(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS prefix_sha256 FROM conversations""")
 def turn_prefix_context(spark, sf_dir):
     line = F.concat("role", F.lit(": "), "text")
-    return J.prefixes(turn_log(spark, sf_dir), ["conv_id"], "turn", line).select("conv_id", "turn", F.sha2("prefix", 256).alias("prefix_sha256"))
+    return running_digests(turn_log(spark, sf_dir), "conv_id", ["turn"], line).select("conv_id", "turn", F.col("upto").alias("prefix_sha256"))
 
 
 @book.query(f"""WITH {LOG_SQL}, d AS (SELECT *, sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY seq) AS nth FROM log),

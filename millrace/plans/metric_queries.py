@@ -9,6 +9,7 @@ from millrace.functions import text as T
 from millrace.operators import aggregates as A
 from millrace.operators import joins as J
 from millrace.operators import metrics as M
+from millrace.operators import trees
 from millrace.plans.book import Book
 from millrace.plans.log import LOG_SQL, event_log, turn_log
 from millrace.plans.policy import POLICY_SQL, policy_log
@@ -214,16 +215,15 @@ def cancel_grammar(spark, sf_dir):
     return rows.select("o_orderkey", ordinal.alias("ordinal"), F.when(ordinal.isNotNull(), F.replace(F.regexp_extract("t", _CANCEL, 2), F.lit("-"), F.lit(" "))).alias("descriptor"))
 
 
-@book.query("""WITH e AS (SELECT event_id, '{"result_event_id":"e_' || event_id || '","note":"event_id","fact_event_ids":["e_' || event_id % 7 || '","e_' || event_id % 5 || '"]}' AS j FROM events)
-SELECT event_id, list_sort(list_distinct(['e_' || event_id, 'e_' || event_id % 7, 'e_' || event_id % 5])) AS ids FROM e""")
+@book.query("""SELECT event_id, list_sort(list_distinct(['e_' || event_id, 'e_' || event_id % 7, 'e_' || event_id % 5])) AS ids FROM events""")
 def event_reference_scan(spark, sf_dir):
+    """Event ids under keys of theirs at any depth, not those that a text quotes."""
     e = F.col("event_id").cast("string")
     seven, five = ((F.col("event_id") % n).cast("string") for n in (7, 5))
-    body = F.concat(F.lit('{"result_event_id":"e_'), e, F.lit('","note":"event_id","fact_event_ids":["e_'), seven, F.lit('","e_'), five, F.lit('"]}'))
+    quoted = r'"note":"\"x_event_id\":\"e_999\"","kinds":["e_998",{"deep":{"fact_event_ids":["e_'
+    body = F.concat(F.lit('{"result_event_id":"e_'), e, F.lit('",' + quoted), seven, F.lit('","e_'), five, F.lit('"],"other_event_id":null}}]}'))
     rows = table(spark, sf_dir, "events").select("event_id", body.alias("j"))
-    # Values of keys that end in event_id or event_ids; the ids inside them follow.
-    fields = F.array_join(F.regexp_extract_all("j", F.lit(r'"[a-z_]*event_ids?":("[^"]*"|\[[^\]]*\])'), F.lit(1)), " ")
-    return rows.select("event_id", F.array_sort(F.array_distinct(F.regexp_extract_all(fields, F.lit(r"e_[0-9]+"), F.lit(0)))).alias("ids"))
+    return trees.references(trees.paths(rows, ["event_id"], "j"), ["event_id"], "event_id")
 
 
 _DATA = "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '\" \"' WHEN 2 THEN '[null, \"\"]' WHEN 3 THEN '{\"a\": {\"b\": 0}}' WHEN 4 THEN '{oops' ELSE '\"ok ' || event_id || '\"' END"
@@ -232,16 +232,13 @@ _DATA = "CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '\" \"' WHEN 2 THEN '[nu
 @book.query("""WITH e AS (SELECT event_id, event_id % 4 = 0 AS failed, event_id % 6 AS m FROM events)
 SELECT event_id, CASE WHEN m = 4 OR failed OR m < 3 THEN 'failed' ELSE 'succeeded' END AS status, CASE WHEN m = 4 THEN 'malformed_result' WHEN failed THEN 'lookup_failed' WHEN m < 3 THEN 'no_usable_data' END AS code FROM e""")
 def tool_result_normalisation(spark, sf_dir):
-    m = F.col("event_id") % 6
-    data = F.when(m == 1, '" "').when(m == 2, '[null, ""]').when(m == 3, '{"a": {"b": 0}}').when(m == 4, "{oops").when(m == 5, F.concat(F.lit('"ok '), F.col("event_id").cast("string"), F.lit('"')))
-    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4 == 0).alias("failed"), data.alias("data"))
-    scalars = F.try_parse_json("data")
-    malformed = F.col("data").isNotNull() & scalars.isNull()
+    rows = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4 == 0).alias("failed"), F.expr(_DATA).alias("data"))
     # A usable answer is any number, boolean or text that is not blank, at any depth and not as a key.
-    values = F.regexp_replace("data", r'"[^"]*"\s*:', "")
-    usable = F.coalesce(values.rlike(r'[0-9]|true|false|"[^"]*[^"\s][^"]*"'), F.lit(False))
-    code = F.when(malformed, "malformed_result").when(F.col("failed"), "lookup_failed").when(~usable, "no_usable_data")
-    return rows.select("event_id", F.when(code.isNull(), "succeeded").otherwise("failed").alias("status"), code.alias("code"))
+    found = trees.usable(trees.paths(rows, ["event_id"], "data"), ["event_id"])
+    met = rows.join(found, "event_id", "left")
+    malformed = F.col("data").isNotNull() & F.col("usable").isNull()
+    code = F.when(malformed, "malformed_result").when(F.col("failed"), "lookup_failed").when(~F.coalesce("usable", F.lit(False)), "no_usable_data")
+    return met.select("event_id", F.when(code.isNull(), "succeeded").otherwise("failed").alias("status"), code.alias("code"))
 
 
 @book.query(f"""WITH {POLICY_SQL}, p AS (SELECT session_id, seq, type, target_seq, reason, lead(type) OVER w AS o_type, lead(target_seq) OVER w AS o_target, lead(reason) OVER w AS o_reason FROM act WHERE type IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY seq))
