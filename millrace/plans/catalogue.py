@@ -12,6 +12,7 @@ from millrace.plans import (
     review_queries,
     rule_queries,
     scalar_queries,
+    selection_queries,
     sequence_queries,
     source_queries,
     state_queries,
@@ -35,6 +36,7 @@ BOOKS = tuple(
         source_queries,
         stream_queries,
         fidelity_queries,
+        selection_queries,
     )
 )
 
