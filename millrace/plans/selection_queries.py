@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import draws
 from millrace.operators import covers as C
+from millrace.operators import synthesis
 from millrace.operators.ranking import hash_rank
 from millrace.plans.book import Book
 from millrace.session import table
@@ -51,3 +53,59 @@ def exact_reach(spark, sf_dir):
     targets = table(spark, sf_dir, "customer").select("c_mktsegment").distinct().select("c_mktsegment", *(F.lit(t).cast("long").alias(c) for t, c in zip(_TARGET, _COUNTS, strict=True)))
     reached = C.exact_reach(programs, targets, "c_mktsegment", "c_nationkey", _COUNTS)
     return C.closest(reached, targets, "c_mktsegment", _COUNTS).drop("uses")
+
+
+def _times32(a: str, b: str) -> str:
+    return f"CAST(({a})::HUGEINT * ({b}) % 4294967296 AS BIGINT)"
+
+
+def _seed_sql(text: str) -> str:
+    return f"list_reduce(list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT), lambda h, u: {_times32('xor(h, u)', str(draws.FNV_PRIME))}, {draws.FNV_OFFSET}::BIGINT)"
+
+
+def _draw_sql(columns: str, seed: str, nth: str, source: str) -> str:
+    """A query of ``columns`` and the draw ``d``."""
+    state = f"SELECT {columns}, ({seed} + {_times32(nth, str(draws.STEP))}) % 4294967296 AS s FROM {source}"
+    mixed = f"SELECT *, {_times32('xor(s, s >> 15)', 's | 1')} AS m FROM ({state})"
+    more = f"SELECT *, xor(m, (m + {_times32('xor(m, m >> 7)', 'm | 61')}) % 4294967296) AS x FROM ({mixed})"
+    return f"SELECT {columns}, xor(x, x >> 14) AS d FROM ({more})"
+
+
+_RADICES = (7, 24, 60, 1000)
+
+
+def _radix_sql() -> str:
+    steps, digits = [], "list_transform(regexp_extract_all(sha256('pick:' || event_id), '....'), lambda h: {'q': [('0x' || h)::BIGINT], 'r': 0::BIGINT})"
+    for i, r in enumerate(_RADICES):
+        worked = f"list_reduce({digits}, lambda a, x: {{'q': list_append(a.q, (a.r * 65536 + x.q[1]) // {r}), 'r': (a.r * 65536 + x.q[1]) % {r}}}, {{'q': []::BIGINT[], 'r': 0::BIGINT}})"
+        steps.append(f"r{i} AS (SELECT *, {worked} AS w{i} FROM {f'r{i - 1}' if i else 'events'})")
+        digits = f"list_transform(w{i}.q, lambda v: {{'q': [v], 'r': 0::BIGINT}})"
+    return ", ".join(steps)
+
+
+@book.query(f"""WITH {_radix_sql()} SELECT event_id, d AS first_draw, {', '.join(f'w{i}.r AS digit_{i}' for i in range(len(_RADICES)))}
+FROM r{len(_RADICES) - 1} JOIN ({_draw_sql('event_id', _seed_sql("'string:' || user_id || ':events'"), "event_id", 'events')}) seeded USING (event_id)""")
+def seeded_draws(spark, sf_dir):
+    """A user's stream of draws by the number of the event, and four choices out of one digest for each event."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id")
+    digits = draws.mixed_radix(F.sha2(F.concat(F.lit("pick:"), F.col("event_id").cast("string")), 256), _RADICES)
+    drawn = draws.draw32(draws.seed_of(F.col("user_id"), "events"), F.col("event_id"))
+    return rows.select("event_id", drawn.alias("first_draw"), digits.alias("d")).select("event_id", "first_draw", *(F.col("d")[i].alias(f"digit_{i}") for i in range(len(_RADICES))))
+
+
+@book.query(f"""WITH b AS (SELECT user_id, count(*) AS n, CAST(sum(k) AS BIGINT) + count(*) AS total FROM (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'click') GROUP BY user_id),
+a AS (SELECT list(k ORDER BY k) AS pool FROM (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type = 'view')),
+r AS (SELECT user_id, total, {_seed_sql("'string:' || user_id || ':intervals'")} AS seed, unnest(range(1, n + 1)) AS nth FROM b),
+d1 AS ({_draw_sql('user_id, total, nth', 'seed', '3 * (nth - 1) + 1', 'r')}), d2 AS (SELECT user_id AS u, nth AS i, d FROM ({_draw_sql('user_id, nth', 'seed', '3 * (nth - 1) + 2', 'r')})), d3 AS (SELECT user_id AS u, nth AS i, d FROM ({_draw_sql('user_id, nth', 'seed', '3 * (nth - 1) + 3', 'r')})),
+v AS (SELECT d1.user_id, d1.total, d1.nth, d3.d AS o, greatest(1, least(99, pool[CAST(floor(d1.d / 4294967296.0::DOUBLE * len(pool)) AS BIGINT) + 1] + CAST(floor(d2.d / 4294967296.0::DOUBLE * 9) AS BIGINT) - 4)) AS drawn
+  FROM d1 JOIN d2 ON d2.u = d1.user_id AND d2.i = d1.nth JOIN d3 ON d3.u = d1.user_id AND d3.i = d1.nth, a),
+l AS (SELECT *, total - sum(drawn) OVER (PARTITION BY user_id) AS lack FROM v), m AS (SELECT *, CASE WHEN lack > 0 THEN 99 - drawn ELSE drawn - 1 END AS room FROM l),
+x AS (SELECT *, coalesce(sum(room) OVER (PARTITION BY user_id ORDER BY o, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(room) OVER (PARTITION BY user_id) AS rooms FROM m)
+SELECT user_id, nth, CAST(drawn AS BIGINT) AS drawn, CASE WHEN rooms >= abs(lack) THEN CAST(drawn + sign(lack) * greatest(0, least(room, abs(lack) - before)) AS BIGINT) END AS interval FROM x""")
+def bootstrap_intervals(spark, sf_dir):
+    """Intervals of each user's clicks, drawn from those of all views and held to the user's own total."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", k.alias("k"))
+    bursts = events.where("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), (F.sum("k") + F.count(F.lit(1))).alias("total"))
+    atoms = events.where("event_type = 'view'").select("k").distinct()
+    return synthesis.intervals_to_total(bursts, "user_id", F.col("user_id"), "n", "total", atoms, "k", 100, 4)
