@@ -117,17 +117,20 @@ NEEDS = {
 }
 
 
-def view(log: PolicyLog, needs: Sequence[str] = FACTS) -> DataFrame:
+def view(log: PolicyLog, needs: Sequence[str] = FACTS, judged: DataFrame | None = None) -> DataFrame:
     """Each action with the facts of the groups in ``needs``; actions keep their columns. What no group needs is not computed.
 
-    With all groups the plan is cut where it grows, else it stays one plan, whose scans read the columns of these facts alone.
+    ``judged`` are actions, with their ``type``, that the log does not hold and that change nothing in it: each is seen as of
+    its row, and any number may stand at one. With all groups the plan is cut where it grows, else it stays one plan, whose
+    scans read the columns of these facts alone.
     """
     has = set(needs) | ({"target"} if "timer_active" in needs else set())
     cut = cut_lineage if len(has) > 6 else lambda df: df
     actions = cut(parsed(log.actions))
+    source = actions if judged is None else judged
     done = has & {"target", "mark", "results", "handled", "repeat", "pending", "snapshot"}
     events = cut(with_dispositions(log.events, actions) if has & {"target", "results", "handled"} else log.events) if done else None
-    out = actions
+    out = source
     if "target" in has:
         about = F.struct("kind", "text", "timer", "succeeded", "done_at")
         out = out.join(events.select(SESSION, F.col(SEQ).alias("target_seq"), about.alias("target")), [SESSION, "target_seq"], "left")
@@ -135,7 +138,10 @@ def view(log: PolicyLog, needs: Sequence[str] = FACTS) -> DataFrame:
         out = out.join(events.select(SESSION, F.col(SEQ).alias("mark_seq"), F.struct("kind", "text").alias("mark")), [SESSION, "mark_seq"], "left")
     asked = requests(actions, events) if has & {"repeat", "pending"} else None
     if "repeat" in has:
-        out = out.join(asked.select(SESSION, SEQ, "is_repeat"), [SESSION, SEQ], "left").withColumn("is_repeat", F.coalesce("is_repeat", F.lit(False)))
+        answered = events.where("kind = 'result'").select(_slot(SESSION, "request"), (F.col(SEQ) + 1).alias("at"), F.lit(False).alias("asks"))
+        both = asked.select(_slot(SESSION, "request"), (F.col(SEQ) + 1).alias("at"), F.lit(True).alias("asks")).unionByName(answered)
+        out = as_of(out.withColumn("slot", _slot(SESSION, "request")), both, "slot", SEQ, "at", ["asks"]).drop("slot")
+        out = out.withColumn("is_repeat", (F.col("type") == "delegate") & F.coalesce("as_of_asks", F.lit(False))).drop("as_of_asks")
 
     tables: dict[str, DataFrame] = {}
     held = lambda name, column: F.when(F.col(SEQ) <= F.col(f"{name}.to_seq"), F.col(f"{name}.{column}"))
@@ -169,15 +175,26 @@ def view(log: PolicyLog, needs: Sequence[str] = FACTS) -> DataFrame:
         statuses = log.timer_changes.select(_slot(SESSION, "timer"), (F.col(SEQ) + 1).alias("at"), "active")
         out = as_of(out.withColumn("_timer", meant).withColumn("slot", _slot(SESSION, "_timer")), statuses, "slot", SEQ, "at", ["active"])
         out = out.withColumnRenamed("as_of_active", "timer_active").drop("slot", "_timer")
-    nth = lambda *by: F.row_number().over(Window.partitionBy(SESSION, "type", *by).orderBy(SEQ))
+    span = ("span_start", "span_end", "span_text")
     if "schedules" in has:
-        span = ("span_start", "span_end", "span_text")
-        out = out.withColumns({"nth_of_span": nth(*span), "nth_of_instruction": nth("target_seq", *span)})
+        out = _with_first(out, actions, "schedule", "earlier_span", span)
+        out = _with_first(out, actions, "schedule", "earlier_instruction", ("target_seq", *span))
     if "marks" in has:
-        out = out.withColumn("nth_mark", nth("target_seq", "mark_seq", "span_start"))
+        out = _with_first(out, actions, "mark", "earlier_mark", ("target_seq", "mark_seq", "span_start"))
     return cut(out)
 
 
+def _with_first(out: DataFrame, actions: DataFrame, kind: str, name: str, by: Sequence[str]) -> DataFrame:
+    """Add ``name``: whether the log has an action of a kind before this row that agrees with it in ``by``, nulls alike."""
+    first = actions.where(F.col("type") == kind).groupBy(SESSION, *by).agg(F.min(SEQ).alias("_first"))
+    first = first.withColumnsRenamed({c: f"_{c}" for c in (SESSION, *by)})
+    on = out[SESSION].eqNullSafe(first[f"_{SESSION}"])
+    for c in by:
+        on &= out[c].eqNullSafe(first[f"_{c}"])
+    met = out.join(first, on, "left").withColumn(name, F.coalesce(F.col("_first") < F.col(SEQ), F.lit(False)))
+    return met.drop("_first", *(f"_{c}" for c in (SESSION, *by)))
+
+
 def semantic_repeats(actions: DataFrame) -> DataFrame:
     """Schedules that ask for the interval and message of an earlier one of their session, whatever their instruction."""
     same = Window.partitionBy(SESSION, "interval_ms", "message").orderBy(SEQ)
@@ -226,10 +243,10 @@ def rules(limits: Limits = Limits()) -> dict[str, Column]:
         ),
         # A timer's instruction is where it was given, and where it stands in the latest snapshot if that still has it there.
         "duplicate_schedule": (kind == "schedule")
-        & ((c("nth_of_instruction") > 1) | ((c("nth_of_span") > 1) & (c("target_seq") == c("latest_snapshot")) & (in_latest == c("span_text")))),
+        & (c("earlier_instruction") | (c("earlier_span") & (c("target_seq") == c("latest_snapshot")) & (in_latest == c("span_text")))),
         "duplicate_tool_request": (kind == "delegate") & c("is_repeat"),
         "floor_owned": (kind == "respond") & c("floor_owned"),
-        "target_already_handled": ((kind == "mark") & (c("nth_mark") > 1))
+        "target_already_handled": ((kind == "mark") & c("earlier_mark"))
         | (kind.isin("integrate", "skip") & ~F.coalesce(target.isin("fire", "result") & is_open, F.lit(False)))
         | ((kind == "respond") & target.isin("result", "snapshot") & ~is_open),
         "timer_limit_exceeded": (kind == "schedule")

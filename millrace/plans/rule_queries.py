@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import joins as J
+from millrace.operators import candidates
 from millrace.operators import rules as R
 from millrace.operators import state as S
 from millrace.plans.book import Book
@@ -20,9 +21,11 @@ def _among(what: str, kind: str, more: str) -> str:
 
 _OPEN = "(x.done_at IS NULL OR x.done_at >= a.seq)"
 _STATUS = "(SELECT arg_max(active, c.seq) FROM changed c WHERE c.session_id = a.session_id AND c.timer = {} AND c.seq < a.seq)"
-VIEW_SQL = f"""WITH {POLICY_SQL}, counted AS (
+def view_sql(source: str, before: str = "") -> str:
+    """The view of the actions in ``source``, which has the columns of ``act``; ``before`` are CTEs that make it."""
+    return f"""WITH {POLICY_SQL}{before}, counted AS (
   SELECT session_id, seq, count(*) FILTER (WHERE active) AS n FROM (
-    SELECT a.session_id, a.seq, c.timer, arg_max(c.active, c.seq) AS active FROM act a JOIN changed c ON c.session_id = a.session_id AND c.seq < a.seq GROUP BY ALL)
+    SELECT a.session_id, a.seq, c.timer, arg_max(c.active, c.seq) AS active FROM (SELECT DISTINCT session_id, seq FROM {source}) a JOIN changed c ON c.session_id = a.session_id AND c.seq < a.seq GROUP BY ALL)
   GROUP BY ALL
 ), seen AS (
   SELECT a.*, t.kind AS t_kind, t.text AS t_text, t.timer AS t_timer, t.succeeded AS t_succeeded, t.done_at IS NULL OR t.done_at >= a.seq AS t_open,
@@ -32,15 +35,19 @@ VIEW_SQL = f"""WITH {POLICY_SQL}, counted AS (
          (SELECT count(*) FROM asked d WHERE d.session_id = a.session_id AND d.request = a.request AND d.seq < a.seq AND (d.done_at IS NULL OR d.done_at > a.seq)) > 0 AND a.type = 'delegate' AS is_repeat,
          (SELECT min(x.seq) FROM ev x WHERE x.session_id = a.session_id AND x.done_at < a.seq) AS earliest_handled,
          coalesce(n.n, 0) AS n_active_timers, CASE WHEN a.type = 'cancel' THEN a.timer ELSE t.timer END AS meant
-  FROM act a LEFT JOIN ev t ON t.session_id = a.session_id AND t.seq = a.target_seq LEFT JOIN ev m ON m.session_id = a.session_id AND m.seq = a.mark_seq
+  FROM {source} a LEFT JOIN ev t ON t.session_id = a.session_id AND t.seq = a.target_seq LEFT JOIN ev m ON m.session_id = a.session_id AND m.seq = a.mark_seq
        LEFT JOIN counted n ON n.session_id = a.session_id AND n.seq = a.seq
 ), v AS MATERIALIZED (
   SELECT a.*, coalesce(l.active OR l.composing, false) AS floor_owned, coalesce(a.latest_snapshot > a.observed_seq, false) AS newer_snapshot, {_STATUS.format('a.meant')} AS timer_active,
          l.text AS l_text,
-         row_number() OVER (PARTITION BY a.session_id, a.type, target_seq, mark_seq, span_start ORDER BY a.seq) AS nth_mark
+         EXISTS (SELECT 1 FROM act b WHERE b.session_id = a.session_id AND b.type = 'mark' AND b.seq < a.seq AND b.target_seq IS NOT DISTINCT FROM a.target_seq
+           AND b.mark_seq IS NOT DISTINCT FROM a.mark_seq AND b.span_start IS NOT DISTINCT FROM a.span_start) AS earlier_mark
   FROM seen a LEFT JOIN ev l ON l.session_id = a.session_id AND l.seq = a.latest_snapshot
 )"""
-_CUT = "NOT coalesce({0}_kind = 'snapshot' AND length({0}_text) >= span_end AND substr({0}_text, span_start + 1, 4) = span_text, false)"
+
+
+VIEW_SQL = view_sql("act")
+_CUT = "NOT coalesce({0}_kind = 'snapshot' AND length({0}_text) >= span_end AND substr({0}_text, span_start + 1, span_end - span_start) = span_text, false)"
 _RULES_SQL = {
     "malformed_action": "type IS NULL",
     "payload_limit_exceeded": "payload_bytes > 1500",
@@ -64,7 +71,7 @@ _RULES_SQL = {
       OR v.target_seq = v.latest_snapshot AND length(l_text) >= v.span_end AND substr(l_text, v.span_start + 1, v.span_end - v.span_start) = v.span_text))""",
     "duplicate_tool_request": "type = 'delegate' AND is_repeat",
     "floor_owned": "type = 'respond' AND floor_owned",
-    "target_already_handled": """type = 'mark' AND nth_mark > 1 OR type IN ('integrate', 'skip') AND NOT coalesce(t_kind IN ('fire', 'result') AND t_open, false)
+    "target_already_handled": """type = 'mark' AND earlier_mark OR type IN ('integrate', 'skip') AND NOT coalesce(t_kind IN ('fire', 'result') AND t_open, false)
       OR type = 'respond' AND t_kind IN ('result', 'snapshot') AND NOT t_open""",
     "timer_limit_exceeded": "type = 'schedule' AND (interval_ms NOT BETWEEN 5000 AND 45000 OR n_active_timers >= 4)",
     "stale_decision": "type = 'respond' AND newer_snapshot",
@@ -209,3 +216,47 @@ def session_ledger_snapshot(spark, sf_dir):
     for part in (timers, pending, rejected):
         out = out.join(part, "session_id", "left")
     return out.fillna(0, ["active_timers", "pending_requests", "rejected"])
+
+
+_CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda b: CAST('0x' || b AS BIGINT)), lambda c, b: xor(c >> 8, crc[CAST((xor(c, b) & 255) + 1 AS INTEGER)]), 4294967295), 4294967295)"
+_NONE = "NULL::BIGINT AS target_seq, NULL AS reason, NULL::INT AS span_start, NULL::INT AS span_end, NULL AS span_text, NULL::BIGINT AS mark_seq, NULL::BIGINT AS interval_ms, NULL AS message, NULL::BIGINT AS request, NULL::BIGINT AS timer, NULL::BOOLEAN AS cancel_all"
+
+
+def _candidate(kind: str, group: int, place: str, source: str, **columns: str) -> str:
+    made = _NONE
+    for name, value in columns.items():
+        made = ", ".join(f"{value} AS {name}" if part.endswith(f" AS {name}") else part for part in made.split(", "))
+    text = columns.get("message") or columns.get("span_text") or "''"
+    return f"SELECT session_id, seq, taken, '{kind}' AS type, {made}, latest AS observed_seq, strlen({text}) AS payload_bytes, {group} * 1000 + {place} AS place FROM {source}"
+
+
+_SPAN = {"span_start": "w0", "span_end": "w1", "span_text": "w"}
+_WHOLE = {"span_start": "0", "span_end": "length(latest_text)", "span_text": "latest_text"}
+_HERE = {"target_seq": "latest"}
+_CANDIDATES = f""", crc_table AS (SELECT list(CAST(list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS BIGINT) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i)),
+dec AS (SELECT a.session_id, a.seq, a.type AS taken, {_among('max(x.seq)', 'snapshot', 'true')} AS latest, {_among('min(x.seq)', 'result', _OPEN)} AS open_result, {_among('min(x.seq)', 'fire', _OPEN)} AS open_fire,
+  (SELECT min(timer) FROM (SELECT timer, arg_max(active, c.seq) AS on_now FROM changed c WHERE c.session_id = a.session_id AND c.seq < a.seq GROUP BY timer) WHERE on_now) AS first_active FROM act a WHERE a.type IS NOT NULL),
+seen0 AS (SELECT d.*, coalesce(s.text, '') AS latest_text, f.timer AS fire_timer, (SELECT arg_max(active, c.seq) FROM changed c WHERE c.session_id = d.session_id AND c.timer = f.timer AND c.seq < d.seq) AS fire_active
+  FROM dec d LEFT JOIN ev s ON s.session_id = d.session_id AND s.seq = d.latest LEFT JOIN ev f ON f.session_id = d.session_id AND f.seq = d.open_fire),
+words AS (SELECT *, 0 AS nth, 0 AS w0, 4 AS w1, latest_text[1:4] AS w FROM seen0 WHERE latest_text <> '' UNION ALL SELECT *, 1, 5, length(latest_text), latest_text[6:] FROM seen0 WHERE latest_text <> ''),
+spans AS (SELECT * FROM words UNION ALL SELECT *, 999, 0, length(latest_text), latest_text FROM seen0 WHERE latest_text <> ''),
+cand AS ({' UNION ALL '.join((
+    _candidate('idle', 0, '0', 'seen0', reason="'no_new_instruction'"),
+    _candidate('mark', 1, 'nth', 'words', mark_seq='latest', **_HERE, **_SPAN),
+    _candidate('delegate', 2, 'nth', 'words, crc_table', request=f'{_CRC} % 4', **_HERE, **_SPAN),
+    _candidate('schedule', 3, 'nth', 'spans', interval_ms='45000', message='trim(w)', **_HERE, **_SPAN),
+    _candidate('respond', 4, '0', "seen0 WHERE latest_text <> ''", message="'Understood.'", **_HERE),
+    _candidate('cancel', 5, '0', "seen0 WHERE latest_text <> '' AND first_active IS NOT NULL", timer='first_active', cancel_all='false', **_HERE, **_WHOLE),
+    _candidate('skip', 6, '0', 'seen0 WHERE open_result IS NOT NULL', target_seq='open_result', reason="'stale_result'"),
+    _candidate('nudge', 7, '0', 'seen0 WHERE fire_active', target_seq='open_fire', timer='fire_timer'),
+    _candidate('skip', 8, '0', 'seen0 WHERE NOT fire_active', target_seq='open_fire', reason="'canceled_timer'", timer='fire_timer'),
+))}), offered AS (SELECT * FROM cand WHERE type <> taken)"""
+_SHOWN = ("target_seq", "reason", "span_start", "span_text", "message", "request", "timer")
+
+
+@book.query(view_sql("offered", _CANDIDATES) + f""", fine AS (SELECT * FROM v WHERE NOT ({' OR '.join(f'({_broken(code)})' for code in R.CODES)}))
+SELECT session_id, seq, taken, type, {', '.join(_SHOWN)} FROM fine QUALIFY row_number() OVER (PARTITION BY session_id, seq, type ORDER BY place) = 1""")
+def listwise_candidates(spark, sf_dir):
+    """Beside each decision, the first action of every other type that could have been taken there and that no rule blocks."""
+    found = candidates.allowed(policy_log(spark, sf_dir))
+    return found.select("session_id", "seq", "taken", "type", *_SHOWN)
