@@ -49,6 +49,21 @@ def benchmark_contamination(spark, sf_dir):
     return C.containing_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+_ITEM_SPLIT = "['train', 'dev', 'test'][item_id % 3 + 1]"
+
+
+@book.query(f"""SELECT doc_id AS doc, item_id AS item, {SPLIT} AS split, {_ITEM_SPLIT} AS item_split FROM documents d, benchmark b
+WHERE contains({_KEY.format('d.text')}, {_KEY.format('b.text')}) AND {SPLIT} <> {_ITEM_SPLIT}""")
+def protected_phrase_leaks(spark, sf_dir):
+    """Protected phrases of one split that stand in a document of another."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    docs = _split_docs(spark, sf_dir)
+    found = C.containing_phrases(docs, items, "doc_id", "text", "item_id", "text")
+    own = F.element_at(F.array(*map(F.lit, ("train", "dev", "test"))), (F.col("item") % 3 + 1).cast("int"))
+    met = found.join(docs.select(F.col("doc_id").alias("doc"), "split"), "doc").withColumn("item_split", own)
+    return met.where("split <> item_split").select("doc", "item", "split", "item_split")
+
+
 @book.query(r"""WITH f AS (SELECT doc_id, [CASE WHEN contains(text, '!!') THEN {code: 'shouting', severity: 'review'} END, CASE WHEN regexp_matches(text, '[#*$%&|<>]{2,}') THEN {code: 'symbols', severity: 'error'} END,
  CASE WHEN length(text) < 40 THEN {code: 'short', severity: 'review'} END, CASE WHEN regexp_matches(text, '[\x00-\x08\x0E-\x1F]') THEN {code: 'control', severity: 'error'} END] AS i FROM documents)
 SELECT doc_id, i.code AS code, i.severity AS severity FROM (SELECT doc_id, unnest(list_filter(i, lambda x: x IS NOT NULL)) AS i FROM f)""")

@@ -158,14 +158,14 @@ def merged_schedule(spark, sf_dir):
 _TOKENS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 
 
-@book.query(f"""WITH w AS (SELECT source, lang, list_distinct(flatten(list({_TOKENS}))) AS words FROM documents WHERE n_chars < 120 GROUP BY ALL), i AS (SELECT item_id, {_TOKENS} AS asked FROM benchmark)
+@book.query(f"""WITH w AS (SELECT source, lang, list_distinct(flatten(list({_TOKENS}))) AS words FROM documents GROUP BY ALL), i AS (SELECT item_id, {_TOKENS} AS asked FROM benchmark)
 SELECT w.source, w.lang, count(*) FILTER (WHERE len(list_filter(asked, lambda x: NOT list_contains(words, x))) = 0) AS covered, count(*) AS items FROM w, i GROUP BY ALL""")
 def vocabulary_subset_test(spark, sf_dir):
-    short = table(spark, sf_dir, "documents").where("n_chars < 120").select("source", "lang", F.explode(T.words(F.col("text"))).alias("word")).distinct()
+    held_words = table(spark, sf_dir, "documents").select("source", "lang", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word")).distinct()
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
     size = asked.groupBy("item_id").agg(F.count(F.lit(1)).alias("size"))
-    held = short.join(asked, "word").groupBy("source", "lang", "item_id").agg(F.count(F.lit(1)).alias("n")).join(size, "item_id")
-    groups = table(spark, sf_dir, "documents").where("n_chars < 120").select("source", "lang").distinct()
+    held = held_words.join(asked, "word").groupBy("source", "lang", "item_id").agg(F.count(F.lit(1)).alias("n")).join(size, "item_id")
+    groups = table(spark, sf_dir, "documents").select("source", "lang").distinct()
     covered = held.groupBy("source", "lang").agg(F.count_if(F.col("n") == F.col("size")).alias("covered"))
     items = F.lit(table(spark, sf_dir, "benchmark").count()).cast("long")
     return groups.join(covered, ["source", "lang"], "left").fillna(0, ["covered"]).withColumn("items", items)

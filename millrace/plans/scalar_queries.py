@@ -20,9 +20,10 @@ def _astral(docs):
 
 
 @book.query(f"""WITH d AS (SELECT doc_id, {_ASTRAL} AS t FROM documents)
-SELECT doc_id, {_UNITS} AS units, CASE WHEN doc_id % 3 = 0 THEN t[1:4] ELSE t[1:5] END AS first_five, doc_id % 3 = 0 AS splits_at_one, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS point_of_two FROM d WHERE length(t) > 9""")
+SELECT doc_id, {_UNITS} AS units, CASE WHEN {_UNITS} >= 5 THEN CASE WHEN doc_id % 3 = 0 THEN t[1:4] ELSE t[1:5] END END AS first_five, t IS NOT NULL AND doc_id % 3 = 0 AS splits_at_one,
+  CASE WHEN {_UNITS} >= 2 THEN CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) END AS point_of_two FROM d""")
 def utf16_spans(spark, sf_dir):
-    docs = _astral(table(spark, sf_dir, "documents")).where(F.char_length("t") > 9)
+    docs = _astral(table(spark, sf_dir, "documents"))
     t = F.col("t")
     return docs.select(
         "doc_id", utf16.units(t).alias("units"), utf16.piece(t, F.lit(0), F.lit(5)).alias("first_five"),
