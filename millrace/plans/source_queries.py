@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.plans.book import Book
-from millrace.session import table
-from millrace.sources import files
+from millrace.plans.log import event_log
+from millrace.session import shared_folder, table
+from millrace.sources import files, packets
 from millrace.streaming import bursts
 
 book = Book()
@@ -52,3 +56,33 @@ b AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 3600000000 THEN 1 ELSE 0 END
 SELECT user_id AS session_id, count(*) AS n_events, min(at_us) AS start_us, max(at_us) AS end_us FROM b GROUP BY user_id, burst""")
 def streamed_bursts(spark, sf_dir):
     return bursts.run_once(spark, f"{sf_dir}/events.parquet", 3_600_000_000)
+
+
+_SEGMENT_SQL = """l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+g AS (SELECT 'u' || user_id AS stream, user_id, seq // 200 AS segment, count(*) AS n FROM l GROUP BY ALL), d AS (SELECT 'u' || user_id AS stream, count(*) AS n, max(seq) AS seen FROM l WHERE event_type = 'purchase' GROUP BY ALL)"""
+
+
+@book.query(f"""WITH {_SEGMENT_SQL}, x AS (SELECT *, user_id % 7 = 3 AND segment = 0 AS bad FROM g),
+s AS (SELECT g.stream, any_value(g.user_id) AS user_id, sum(g.n) AS n, bool_or(g.bad) AS bad FROM x g GROUP BY g.stream)
+SELECT s.stream, coalesce((SELECT sum(n) FROM x WHERE x.stream = s.stream AND NOT bad), 0)::BIGINT AS n_events, coalesce(d.n, 0) AS n_decisions,
+  CASE WHEN bad THEN 'changed' WHEN s.user_id % 5 = 1 THEN 'event_count' END AS problem
+FROM s LEFT JOIN d USING (stream)""")
+def packet_load(spark, sf_dir):
+    """Each user's events as a stream of a packet, written and loaded again; some digests and some counts of its manifest are wrong."""
+    log = event_log(spark, sf_dir)
+    stream = F.concat(F.lit("u"), F.col("session_id").cast("string")).alias("stream")
+    line = F.to_json(F.struct("event_id", "kind", "k"))
+    events = log.select(stream, F.floor(F.col("seq") / 200).cast("int").alias("segment"), "seq", line.alias("line"))
+    acts = log.where("kind = 'purchase'")
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")) - 1
+    decisions = acts.select(stream, nth.cast("long").alias("call_index"), F.col("seq").alias("observed_seq"), F.concat(F.lit("act "), F.col("k").cast("string")).alias("action"))
+    path = f"{shared_folder(spark)}/packet-{uuid.uuid4().hex}"
+    packets.write_packet(events, decisions, path)
+    user = F.substring("stream", 2, 99).cast("long")
+    wrong = F.transform("segments", lambda s: F.when((user % 7 == 3) & (s["segment"] == 0), s.withField("sha256", F.sha2(s["sha256"], 256))).otherwise(s))
+    manifest = packets.read_manifest(spark, path).withColumn("segments", wrong).withColumn("n_events", F.col("n_events") + F.when(user % 5 == 1, 1).otherwise(0))
+    manifest.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/damaged")
+    found, told, problems = packets.load(spark, path, manifest="damaged")
+    counts = manifest.select("stream").join(found.groupBy("stream").agg(F.count(F.lit(1)).alias("n_events")), "stream", "left")
+    counts = counts.join(told.groupBy("stream").agg(F.count(F.lit(1)).alias("n_decisions")), "stream", "left").fillna(0)
+    return counts.join(problems.select("stream", "problem").distinct(), "stream", "left").select("stream", "n_events", "n_decisions", "problem")

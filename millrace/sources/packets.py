@@ -33,8 +33,8 @@ def write_packet(events: DataFrame, decisions: DataFrame, path: str) -> None:
     told.select(F.col("_line").alias("value")).write.text(f"{path}/sidecars")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+def read_manifest(spark: SparkSession, path: str, manifest: str = "manifest") -> DataFrame:
+    return spark.read.schema(MANIFEST).json(f"{path}/{manifest}")
 
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
@@ -48,13 +48,12 @@ def read_segments(spark: SparkSession, path: str, wanted: Column | None = None)
     return files.select("stream", F.col("segment").cast("int").alias("segment"), "path", "content", F.sha2("content", 256).alias("sha256"))
 
 
-def artifact_problems(manifest: DataFrame, segments: DataFrame, sidecars: DataFrame, wanted: Column | None = None) -> DataFrame:
+def artifact_problems(manifest: DataFrame, segments: DataFrame, sidecars: DataFrame) -> DataFrame:
     """``stream, segment, problem, path``: files that the manifest names and that are missing or changed, and files that it does not name.
 
-    A sidecar's problem has no segment. ``wanted`` must be the condition by which ``segments`` were read.
+    A sidecar's problem has no segment.
     """
     named = manifest.select("stream", F.explode("segments").alias("s")).select("stream", "s.segment", F.col("s.sha256").alias("_named"))
-    named = named if wanted is None else named.where(wanted)
     met = named.join(segments.drop("content"), ["stream", "segment"], "full")
     problem = F.when(F.col("path").isNull(), "missing").when(F.col("_named").isNull(), "unlisted").when(F.col("_named") != F.col("sha256"), "changed")
     of_files = met.select("stream", "segment", problem.alias("problem"), "path").where("problem IS NOT NULL")
@@ -76,20 +75,20 @@ def events_of(segments: DataFrame, manifest: DataFrame) -> DataFrame:
     return each.where(F.col("position") < F.col("_n") - 1).drop("_n")  # the piece after the last LF is no line
 
 
-def load(spark: SparkSession, path: str, streams: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events, decisions and problems of a packet, or of some of its streams.
+def load(spark: SparkSession, path: str, streams: Sequence[str] | None = None, manifest: str = "manifest") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, decisions and problems of a packet, or of some of its streams, by the manifest of the name given.
 
     Beside problems of artifacts there are those of sums: ``event_count`` and ``decision_count`` where a sound stream does not hold what its manifest says, and
     ``observed_beyond`` where a decision saw more events than there are.
     """
     wanted = None if streams is None else F.col("stream").isin(*streams)
     keep = (lambda df: df) if wanted is None else (lambda df: df.where(wanted))
-    manifest, sidecars = keep(read_manifest(spark, path)), keep(read_sidecars(spark, path))
+    listed, sidecars = keep(read_manifest(spark, path, manifest)), keep(read_sidecars(spark, path))
     segments = read_segments(spark, path, wanted)
-    problems = artifact_problems(manifest, segments, sidecars)
-    events = events_of(segments, manifest)
+    problems = artifact_problems(listed, segments, sidecars)
+    events = events_of(segments, listed)
     unsound = problems.where("problem <> 'unlisted'").select("stream").distinct()
-    counted = manifest.select("stream", "n_events", "n_decisions").join(unsound, "stream", "left_anti")
+    counted = listed.select("stream", "n_events", "n_decisions").join(unsound, "stream", "left_anti")
     counted = counted.join(events.groupBy("stream").agg(F.count(F.lit(1)).alias("_events")), "stream", "left")
     counted = counted.join(sidecars.groupBy("stream").agg(F.count(F.lit(1)).alias("_decisions"), F.max("observed_seq").alias("_seen")), "stream", "left").fillna(0, ["_events", "_decisions"])
     found = F.array(
