@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from millrace.functions import alignment
 from millrace.operators.sequence import ordered, upto
 
 
@@ -143,29 +144,28 @@ def pack(max_rows: int, max_bytes: int, max_tokens: int) -> Step:
     return step
 
 
+def _first_word(text: str, nth: int) -> tuple[str, int]:
+    words = text.split()
+    word = words[nth] if len(words) > nth else ""
+    return word, text.find(word)
+
+
 def follow_span(start_word: int = 0) -> Step:
     """Where the first word of a session's first text stands in each later one: null once its surroundings changed or repeat."""
-    from difflib import SequenceMatcher
-
-    def once(text: str, part: str) -> bool:
-        at = text.find(part)
-        return at >= 0 and text.find(part, at + 1) < 0
 
     def step(state: dict, row: tuple) -> tuple:
         seq, text = row
         if "span" not in state:
-            words = text.split()
-            word = words[start_word] if len(words) > start_word else ""
-            at = text.find(word)
+            word, at = _first_word(text, start_word)
             state["span"] = (at, at + len(word)) if word else None
         elif state["span"] is not None:
             (a, b), old = state["span"], state["text"]
             state["span"] = None
-            for block in SequenceMatcher(None, old, text, autojunk=False).get_matching_blocks():
-                if block.a <= a and b <= block.a + block.size:
-                    same = old[block.a : block.a + block.size]
-                    if once(old, same) and once(text, same):
-                        state["span"] = (a - block.a + block.b, b - block.a + block.b)
+            for i, j, size in alignment.matching_blocks(old, text):
+                if i <= a and b <= i + size:
+                    same = old[i : i + size]
+                    if alignment.once(old, same) and alignment.once(text, same):
+                        state["span"] = (a - i + j, b - i + j)
         state["text"] = text
         found = state["span"]
         return seq, None if found is None else found[0], None if found is None else found[1]
@@ -173,6 +173,54 @@ def follow_span(start_word: int = 0) -> Step:
     return step
 
 
+def _descendants(old: str, new: str, span: tuple[int, int], word: str, edits: list[alignment.Opcode]) -> tuple[set[tuple[int, int]], bool]:
+    """Where one occurrence of ``word`` may stand in the next text, and whether the revision touched it.
+
+    Within a block that both texts hold once, its place is certain. Within a repeated block it may be in any copy of that. Where an edit
+    reaches into it, it is the one occurrence that overlaps what the edit made of it, if there is just one.
+    """
+    start, end = span
+    block = next((e for e in edits if e[0] == "equal" and e[1] <= start and end <= e[2]), None)
+    if block:
+        same = old[block[1] : block[2]]
+        offset = start - block[1]
+        if alignment.once(old, same) and alignment.once(new, same):
+            return {(block[3] + offset, block[3] + offset + end - start)}, False
+        places = ((at + offset, at + offset + end - start) for at in alignment.occurrences(new, same))
+        return {(x, y) for x, y in places if new[x:y] == word}, True
+    reached = [e for e in edits if max(start, e[1]) < min(end, e[2]) or (e[1] == e[2] and start < e[1] < end)]
+    if not reached:
+        return set(), True
+    low, high = min(e[3] for e in reached), max(e[4] for e in reached)
+    overlaps = (lambda x, y: x < high and y > low) if low < high else (lambda x, y: x < low < y)
+    near = {(x, x + len(word)) for x in alignment.occurrences(new, word) if overlaps(x, x + len(word))}
+    return near if len(near) == 1 else set(), True
+
+
+def follow_ambiguous(start_word: int = 0) -> Step:
+    """All places where the first word of a session's first text may have come to stand: ``seq, touched, starts``.
+
+    ``starts`` is empty before a revision touches the word, since its place is then certain, and for good once no place is left.
+    """
+
+    def step(state: dict, row: tuple) -> tuple:
+        seq, text = row
+        if "text" not in state:
+            word, at = _first_word(text, start_word)
+            state.update(word=word, places={(at, at + len(word))} if word else set(), touched=False)
+        elif state["places"]:
+            old, word = state["text"], state["word"]
+            edits = list(alignment.opcodes(old, text))
+            moved = [_descendants(old, text, span, word, edits) for span in sorted(state["places"])]
+            state["touched"] |= any(touched for _, touched in moved)
+            state["places"] = set().union(*(places for places, _ in moved))
+        state["text"] = text
+        found = sorted(x for x, y in state["places"] if text[x:y] == state["word"])
+        return seq, state["touched"], found if state["touched"] else []
+
+    return step
+
+
 def reduce_visible(state: dict, row: tuple) -> tuple:
     """The visible state after each row of a log of (seq, kind, k): latest view, open timers, requests pending, errors since."""
     seq, kind, k = row

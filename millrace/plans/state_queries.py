@@ -163,3 +163,16 @@ def reduce_stream_fold(spark, sf_dir):
 def span_projection(spark, sf_dir):
     turns = turn_log(spark, sf_dir)
     return S.fold(turns, "conv_id", ["turn"], ["turn", "text"], S.follow_span(), "conv_id long, turn long, start long, end long")
+
+
+@book.query()
+def ambiguous_targets(spark, sf_dir):
+    """Six revisions of each conversation's first text, and where its second word may stand in each."""
+    first = turn_log(spark, sf_dir).groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"))
+    half = F.floor(F.char_length("t") / 2).cast("int")
+    revisions = (
+        F.col("t"), F.concat(F.lit("Oh, "), "t"), F.concat("t", F.lit(" "), "t"), F.concat("t", F.lit(" and "), "t"),
+        F.concat(F.substring("t", F.lit(2), half), F.lit(" "), "t"), F.substring("t", F.lit(1), half),
+    )
+    log = first.select("conv_id", F.posexplode(F.array(*revisions)).alias("revision", "text"))
+    return S.fold(log, "conv_id", ["revision"], ["revision", "text"], S.follow_ambiguous(1), "conv_id long, revision int, touched boolean, starts array<bigint>")
