@@ -119,3 +119,22 @@ def allowed(log: PolicyLog, limits: Limits = Limits()) -> DataFrame:
     columns = [c for c in candidates.columns if c not in (SESSION, SEQ, "type", "taken")]
     best = judged.groupBy(SESSION, SEQ, "taken", "type").agg(F.min_by(F.struct(*columns), "place").alias("_c"))
     return best.select(SESSION, SEQ, "taken", "type", "_c.*")
+
+
+#: Fixed value: of actions that are allowed at once, the first of these is the one to take.
+RANKING = ("cancel", "schedule", "nudge", "skip", "mark", "integrate", "delegate", "respond", "idle")
+
+
+def winners(log: PolicyLog, limits: Limits = Limits()) -> DataFrame:
+    """``session_id, seq, taken, taken_allowed, winner, wins``: of the action taken and what else was allowed, the type that ranks first.
+
+    ``winner`` is null where nothing is allowed; ``wins`` says that the action taken is the winner.
+    """
+    own = S.blocks(R.view(log), R.rules(limits)).where("type IS NOT NULL")
+    own = own.select(SESSION, SEQ, F.col("type").alias("taken"), F.col("first_block").isNull().alias("_own"), "type")
+    others = allowed(log, limits).select(SESSION, SEQ, "taken", F.lit(None).cast("boolean").alias("_own"), "type")
+    rank = F.array_position(F.array(*map(F.lit, RANKING)), F.col("type"))
+    counts = F.coalesce("_own", F.lit(True))
+    best = own.unionByName(others).groupBy(SESSION, SEQ, "taken").agg(F.max("_own").alias("taken_allowed"), F.min(F.when(counts, F.struct(rank.alias("r"), "type"))).alias("_best"))
+    winner = F.col("_best.type")
+    return best.select(SESSION, SEQ, "taken", "taken_allowed", winner.alias("winner"), F.coalesce(winner == F.col("taken"), F.lit(False)).alias("wins"))

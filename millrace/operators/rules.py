@@ -254,3 +254,53 @@ def rules(limits: Limits = Limits()) -> dict[str, Column]:
         "stale_decision": (kind == "respond") & c("newer_snapshot"),
     }
     return {"malformed_action": kind.isNull()} | {code: kind.isNotNull() & F.coalesce(rule, F.lit(False)) for code, rule in held.items()}
+
+
+#: What a rule may wait for, the types of action that wait for it, and how the view looks once it has come.
+RELEASES = {
+    "request_pending": (("delegate",), {"is_repeat": F.lit}),
+    "floor_owned": (("respond",), {"floor_owned": F.lit}),
+    "timer_active": (("nudge", "skip"), {"timer_active": lambda _: F.col("type") == "nudge"}),
+}
+
+
+def one_variable_releases(seen: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Blocked actions of view(), each with what one variable alone would change: ``session_id, seq, type, variable, blocked_by, still_blocked_by, released``.
+
+    A pending request is answered, the floor given up, the timer of a fire set active for a nudge and canceled for a skip; every
+    rule is then asked again. ``still_blocked_by`` is the first that holds.
+    """
+    blocked = _first_block(seen, limits, "blocked_by").where("blocked_by IS NOT NULL AND type IS NOT NULL")
+    out: DataFrame | None = None
+    for variable, (types, changes) in RELEASES.items():
+        changed = blocked.where(F.col("type").isin(*types)).withColumns({c: to(False) for c, to in changes.items()})
+        again = _first_block(changed, limits, "still_blocked_by").withColumn("variable", F.lit(variable))
+        again = again.select(SESSION, SEQ, "type", "variable", "blocked_by", "still_blocked_by", F.col("still_blocked_by").isNull().alias("released"))
+        out = again if out is None else out.unionByName(again)
+    return out
+
+
+def _first_block(seen: DataFrame, limits: Limits, name: str) -> DataFrame:
+    hits = [F.when(F.coalesce(held, F.lit(False)), F.lit(code)) for code, held in rules(limits).items()]
+    return seen.withColumn(name, F.coalesce(*hits))
+
+
+def schedule_key(instruction: Column, interval_ms: Column, message: Column) -> Column:
+    """A digest that retries of one schedule share: of the canonical JSON of its instruction, interval and message."""
+    body = F.to_json(F.struct(instruction.alias("instruction_id"), interval_ms.alias("interval_ms"), message.alias("message")))
+    return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("schedule-key-v1\0"), body), 256))
+
+
+def timer_sources(timers: DataFrame, actions: DataFrame, span: Sequence[str]) -> DataFrame:
+    """``timers`` with ``source_seq``, the one schedule of their session with the same span, and ``problem``: none, missing or ambiguous.
+
+    Schedules are counted by span before they meet the timers, so a span scheduled any number of times is one row of the join.
+    """
+    found = actions.groupBy(SESSION, *span).agg(F.count(F.lit(1)).alias("_n"), F.min(SEQ).alias("_seq"))
+    found = found.withColumnsRenamed({c: f"_{c}" for c in (SESSION, *span)})
+    on = F.lit(True)
+    for c in (SESSION, *span):
+        on &= timers[c].eqNullSafe(found[f"_{c}"])
+    met = timers.join(found, on, "left")
+    problem = F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "ambiguous").otherwise("none")
+    return met.select(*timers.columns, F.when(F.col("_n") == 1, F.col("_seq")).alias("source_seq"), problem.alias("problem"))

@@ -9,6 +9,7 @@ from millrace.plans import (
     harness_queries,
     join_queries,
     metric_queries,
+    provenance_queries,
     review_queries,
     rule_queries,
     scalar_queries,
@@ -37,6 +38,7 @@ BOOKS = tuple(
         stream_queries,
         fidelity_queries,
         selection_queries,
+        provenance_queries,
     )
 )
 
