@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import Rounds, cut_lineage
 
 MAX_ROUNDS = 50
 #: One link in so many connects nearly all, where links are many.
@@ -34,13 +34,14 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
 
 def _settled(links: DataFrame) -> DataFrame:
     """Edges ``a > b`` of distinct links made into stars: every node but the least of its component has one edge, to that."""
+    rounds = Rounds()
     for _ in range(MAX_ROUNDS):
         # A node with two edges down, or with one down and one up, is in no star yet.
         ends = links.select(F.col("a").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(links.select("b", F.lit(0), F.lit(1)))
         found = ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
         if found.where("down > 1 OR down = 1 AND up = 1").isEmpty():
             return links
-        links = cut_lineage(_toward_least(_toward_least(links, larger_only=True), larger_only=False))
+        links = rounds.next(_toward_least(_toward_least(links, larger_only=True), larger_only=False))
         # The shuffle files of past rounds are deleted once the JVM has found that nothing refers to them.
         links.sparkSession.sparkContext._jvm.System.gc()
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
@@ -62,7 +63,7 @@ def components(edges: DataFrame, many: bool = False) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``: the least node that it can reach.
 
     Self-links and repeated or reversed edges do no harm; null ends are left out. The result is written
-    to the checkpoint folder after each round, so a lost executor costs at most one round. ``many`` says that there
+    to the shared folder after each round, so a lost executor costs at most one round. ``many`` says that there
     are many edges to a node: they are thinned out first.
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).dropna().where("a > b")
