@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import cut_lineage
+from millrace.session import Rounds, cut_lineage
 
 MAX_DOUBLINGS = 63
 
@@ -63,10 +63,11 @@ def successors(rows: DataFrame, session: str, value: str, seq: str, targets: Map
         dealt = deal(asked.unionByName(held), session, order)
         row_seq = F.when(F.col("_is_row") == 1, F.col("_seq"))
         firsts = dealt.groupBy(session, "_part").agg(F.min(row_seq).alias("_first"))
-        after = Window.partitionBy(session).orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-        later = _of_cut_sessions(firsts, session, {"_later": F.first("_first", ignorenulls=True).over(after)}, "_later IS NOT NULL")
-        following = Window.partitionBy(session, "_part").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        found = _with(dealt.withColumn("_next", F.first(row_seq, ignorenulls=True).over(following)).where("_is_row = 0"), later, session)
+        # Both run backwards: a frame that ends with its partition would be gone through anew for each row.
+        after = Window.partitionBy(session).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+        later = _of_cut_sessions(firsts, session, {"_later": F.last("_first", ignorenulls=True).over(after)}, "_later IS NOT NULL")
+        backwards = Window.partitionBy(session, "_part").orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0)
+        found = _with(dealt.withColumn("_next", F.last(row_seq, ignorenulls=True).over(backwards)).where("_is_row = 0"), later, session)
         found = found.select(F.col(session).alias("_s"), F.col("_seq").alias("_q"), F.coalesce("_next", "_later").alias(name))
         out = out.join(found, out[session].eqNullSafe(found["_s"]) & (out[seq] == found["_q"])).drop("_s", "_q")
     return out
@@ -79,16 +80,17 @@ def reached(links: DataFrame, starts: DataFrame, session: str, seq: str, followi
     many rounds as the longest chain has binary digits, each of two joins on (session, seq), however long a session is.
     Every pointer must lead forward.
     """
-    jumps = cut_lineage(links.select(session, seq, following).where(F.col(following) > F.col(seq)))
-    seen = cut_lineage(starts.select(session, seq))
+    of_jumps, of_seen = Rounds(), Rounds()
+    jumps = of_jumps.next(links.select(session, seq, following).where(F.col(following) > F.col(seq)))
+    seen = of_seen.next(starts.select(session, seq))
     for _ in range(MAX_DOUBLINGS):
         if jumps.isEmpty():
             return seen
         ahead = jumps.select(F.col(session).alias("_s"), F.col(seq).alias("_q"), F.col(following).alias("_to"))
         found = seen.join(ahead, seen[session].eqNullSafe(ahead["_s"]) & (seen[seq] == ahead["_q"]))
-        seen = cut_lineage(seen.unionByName(found.select(session, F.col("_to").alias(seq))))
+        seen = of_seen.next(seen.unionByName(found.select(session, F.col("_to").alias(seq))))
         twice = jumps.join(ahead, jumps[session].eqNullSafe(ahead["_s"]) & (jumps[following] == ahead["_q"]))
-        jumps = cut_lineage(twice.select(session, seq, F.col("_to").alias(following)))
+        jumps = of_jumps.next(twice.select(session, seq, F.col("_to").alias(following)))
     raise RuntimeError(f"pointers go on after {MAX_DOUBLINGS} doublings")
 
 

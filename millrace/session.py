@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Rounds:
+    """The table that a loop carries from round to round, written to the shared folder and read back each time.
+
+    A checkpoint also cuts the plan, but keeps the optimizer's estimate of its size, which joins multiply round by round; a written
+    table is as large as it is. The table of the round before is deleted once the next is written; the last one stays.
+    """
+
+    def __init__(self) -> None:
+        self.path: str | None = None
+
+    def next(self, df: DataFrame) -> DataFrame:
+        spark, before = df.sparkSession, self.path
+        self.path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        if before is not None:
+            old = spark._jvm.org.apache.hadoop.fs.Path(before)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        return spark.read.schema(df.schema).parquet(self.path)
