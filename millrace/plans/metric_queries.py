@@ -254,11 +254,15 @@ def action_equivalence(spark, sf_dir):
     return pairs.select("session_id", "seq", same.alias("same"))
 
 
-@book.query("""WITH p AS (SELECT p_partkey, sha256(p_name) AS a, sha256(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || p_size END) AS b FROM part)
-SELECT p_partkey, len(list_filter(range(1, 65), lambda i: a[i] <> b[i])) AS differing, CAST(list_min(list_filter(range(1, 65), lambda i: a[i] <> b[i])) - 1 AS BIGINT) AS first_difference FROM p""")
+@book.query("""WITH p AS (SELECT p_partkey, regexp_extract_all(hex(encode(p_name)), '..') AS a, regexp_extract_all(hex(encode(CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || p_size ELSE replace(p_name, 'a', 'é') END)), '..') AS b FROM part),
+d AS (SELECT p_partkey, list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i: a[i] IS DISTINCT FROM b[i]) AS places FROM p)
+SELECT p_partkey, len(places) AS differing, CAST(list_min(places) - 1 AS BIGINT) AS first_difference FROM d""")
 def byte_difference(spark, sf_dir):
-    other = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.col("p_size").cast("string")))
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.split(F.sha2("p_name", 256), "").alias("a"), F.split(F.sha2(other, 256), "").alias("b"))
+    """Bytes in which two texts differ, those that only the longer one has included, and the place of the first."""
+    key, name = F.col("p_partkey") % 3, F.col("p_name")
+    other = F.when(key == 0, name).when(key == 1, F.concat(name, F.col("p_size").cast("string"))).otherwise(F.replace(name, F.lit("a"), F.lit("é")))
+    bytes_of = lambda text: F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    rows = table(spark, sf_dir, "part").select("p_partkey", bytes_of(name).alias("a"), bytes_of(other).alias("b"))
     differs = rows.select("p_partkey", F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y)).alias("d"))
     first = F.array_position("d", F.lit(True)) - 1
     return differs.select("p_partkey", F.size(F.filter("d", lambda x: x)).cast("long").alias("differing"), F.when(first >= 0, first).alias("first_difference"))

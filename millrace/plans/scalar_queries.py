@@ -41,11 +41,12 @@ def utf16_slice_roundtrip(spark, sf_dir):
 
 
 @book.query("""SELECT p_partkey, 'sha256:' || sha256('{"p_brand":"' || p_brand || '","p_partkey":' || p_partkey || ',"p_size":' || p_size || '}') AS seal,
- sha256('part' || chr(0) || p_brand) AS key, length(p_brand) AS brand_bytes FROM part""")
+ sha256('part' || chr(0) || p_brand) AS key,
+ sha256(encode('part') || unhex('00') || unhex(lpad(hex(strlen(p_brand)), 16, '0')) || encode(p_brand) || unhex(lpad(hex(strlen(p_size::VARCHAR)), 16, '0')) || encode(p_size::VARCHAR)) AS framed_sha256 FROM part""")
 def canonical_digest_seal(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    framed = F.octet_length(hashing.framed("part", [F.col("p_brand")])) - 4 - 1 - 8
-    return parts.select("p_partkey", canonical.sealed(parts.columns).alias("seal"), hashing.joined_key([F.lit("part"), F.col("p_brand")]).alias("key"), framed.cast("long").alias("brand_bytes"))
+    framed = F.sha2(hashing.framed("part", [F.col("p_brand"), F.col("p_size").cast("string")]), 256)
+    return parts.select("p_partkey", canonical.sealed(parts.columns).alias("seal"), hashing.joined_key([F.lit("part"), F.col("p_brand")]).alias("key"), framed.alias("framed_sha256"))
 
 
 @book.query("""WITH h AS (SELECT c_custkey, sha256('7' || chr(0) || c_custkey) AS h FROM customer)
