@@ -69,3 +69,18 @@ def test_totals_and_ways_equal_the_plain_program(spark):
     for f, (ps, target) in families.items():
         lacks = min((tuple(t - v for v, t in zip(total, target)) for total in plain_reach(ps, target)), key=lambda g: (sum(g), g))
         assert tuple(best[f][f"gap_{c}"] for c in names) == lacks and best[f]["reachable"] == (sum(lacks) == 0)
+
+
+def test_share_of_each_stratum_equals_sorting(spark):
+    from millrace.operators import ranking
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None, f"s{i % 40}"])) for i in range(900)] + [(5, "a"), (5, "a")]
+    df = spark.createDataFrame(rows, "i long, s string").repartition(4)
+    got = sorted((r["i"], r["s"] or "") for r in ranking.stratified_share(df, "s", ranking.hash_rank(F.col("i"), "d"), 10).collect())
+    want = []
+    for s in {s for _, s in rows}:
+        inside = sorted((hashlib.sha256(f"d\0{i}".encode()).hexdigest(), i) for i, t in rows if t == s)
+        want += [(i, s or "") for _, i in inside[: -(-len(inside) * 10 // 100)]]
+    assert got == sorted(want)
+    assert ranking.stratified_share(df.limit(0), "s", ranking.hash_rank(F.col("i"), "d"), 10).count() == 0
