@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 #: Offset and prime of the 32-bit FNV-1a hash, and the step of the generator.
 FNV_OFFSET, FNV_PRIME, STEP = 2_166_136_261, 16_777_619, 0x6D2B79F5
 _MASK = 0xFFFFFFFF
+#: Service times in milliseconds, one for each hundredth of draws, and the least and the number of those of other streams.
+SERVICE_MS = (
+    250, 300, 330, 360, 390, 410, 430, 445, 460, 470, 480, 490, 500, 510, 520, 530, 540, 550, 560, 570,
+    580, 585, 590, 595, 600, 605, 610, 615, 620, 623, 625, 628, 630, 633, 635, 638, 640, 642, 644, 646,
+    648, 650, 650, 650, 650, 650, 650, 650, 650, 650, 650, 650, 650, 650, 650, 650, 660, 670, 680, 690,
+    700, 710, 720, 730, 740, 750, 760, 770, 780, 790, 800, 810, 820, 830, 840, 850, 860, 870, 880, 890,
+    900, 910, 920, 930, 940, 945, 948, 949, 950, 950, 950, 980, 1010, 1040, 1080, 1120, 1200, 1300, 1500, 1500,
+)
+ROBUSTNESS_MS, STRESS_MS = (1500, 1501), (2000, 3001)
+CORE, ROBUSTNESS, STRESS = "core", "robustness", "stress"
 
 
 def _low(value: Column) -> Column:
@@ -69,3 +79,15 @@ def mixed_radix(hex_digest: Column, radices: Sequence[int]) -> Column:
         return F.struct(F.concat(state["drawn"], F.array(worked["rest"])).alias("drawn"), worked["quotient"].alias("digits"))
 
     return F.aggregate(F.array(*(F.lit(r).cast("long") for r in radices)), start, divide)["drawn"]
+
+
+def stream_class(is_stress: Column, draw: Column) -> Column:
+    """The latency class of a stream: stress by its population, robustness for a tenth of all others by a 64-bit draw, else core."""
+    return F.when(is_stress, STRESS).when(draw % 10 == 0, ROBUSTNESS).otherwise(CORE)
+
+
+def service_ms(kind: Column, draw: Column) -> Column:
+    """A service time by class from a 64-bit draw: the table's for core, even within bounds for the others."""
+    table = F.array(*map(F.lit, SERVICE_MS))
+    even = lambda bounds: (draw % bounds[1] + bounds[0]).cast("int")
+    return F.when(kind == CORE, F.get(table, (draw % len(SERVICE_MS)).cast("int"))).when(kind == ROBUSTNESS, even(ROBUSTNESS_MS)).otherwise(even(STRESS_MS))

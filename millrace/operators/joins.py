@@ -60,12 +60,6 @@ def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: st
     return found.where(F.col(at) <= F.col(f"as_of_{end}")).drop(f"as_of_{end}")
 
 
-def prefixes(log: DataFrame, keys: Sequence[str], order: str, line: Column) -> DataFrame:
-    """Add ``prefix``: every row's own text and all before it in its group, joined by LF."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return log.withColumn("prefix", F.array_join(F.collect_list(line).over(upto), "\n"))
-
-
 def intervals(log: DataFrame, key: str, order: str, opens: Column, counted: Column) -> DataFrame:
     """Intervals from one opening row up to the next: key, first, next_first, n of ``counted`` rows inside."""
     upto = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import canonical, edits, hashing, money, text, utf16
+from millrace.functions import canonical, draws, edits, hashing, money, text, utf16
 from millrace.plans.book import Book
 from millrace.plans.log import turn_log
 from millrace.session import table
@@ -59,13 +59,20 @@ def named_stream_draws(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", draw.cast("string").alias("draw"), (draw % 10).cast("int").alias("stream_class"), rest.alias("mod_100"))
 
 
-_LATENCY = (250, 450, 550, 650, 750, 850, 950, 1100, 1300, 1500)
+def _u64(stream: str) -> str:
+    return f"('0x' || sha256(c_custkey || chr(0) || {stream})[1:16])::UBIGINT"
 
 
-@book.query(f"""SELECT c_custkey, [{', '.join(map(str, _LATENCY))}][CAST(('0x' || sha256('latency' || chr(0) || c_custkey)[1:16])::UBIGINT % 10 AS INTEGER) + 1] AS service_ms FROM customer""")
+@book.query(f"""WITH c AS (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'stress' WHEN {_u64("'stream-class'")} % 10 = 0 THEN 'robustness' ELSE 'core' END AS stream_class, unnest([0, 1, 2]) AS call FROM customer),
+d AS (SELECT *, {_u64("'service-time:' || call")} AS draw FROM c)
+SELECT c_custkey, stream_class, call, CAST(CASE stream_class WHEN 'core' THEN [{', '.join(map(str, draws.SERVICE_MS))}][CAST(draw % 100 AS INTEGER) + 1] WHEN 'robustness' THEN 1500 + draw % 1501 ELSE 2000 + draw % 3001 END AS INTEGER) AS service_ms FROM d""")
 def latency_inverse_cdf(spark, sf_dir):
-    at = (hashing.draw_u64(F.lit("latency"), F.col("c_custkey").cast("string")) % 10).cast("int")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.get(F.array(*map(F.lit, _LATENCY)), at).alias("service_ms"))
+    """The latency class of each customer as a stream, and the service times of its first three calls."""
+    seed = F.col("c_custkey").cast("string")
+    kind = draws.stream_class(F.col("c_mktsegment") == "BUILDING", hashing.draw_u64(seed, F.lit("stream-class")))
+    calls = table(spark, sf_dir, "customer").select("c_custkey", kind.alias("stream_class"), F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("call"))
+    draw = hashing.draw_u64(seed, F.concat(F.lit("service-time:"), F.col("call").cast("string")))
+    return calls.select("c_custkey", "stream_class", "call", draws.service_ms(F.col("stream_class"), draw).alias("service_ms"))
 
 
 @book.query("""WITH h AS (SELECT c_custkey, CAST(('0x' || sha256('turn' || chr(0) || c_custkey)[1:8])::UBIGINT % 5 AS INTEGER) AS s FROM customer)
