@@ -131,7 +131,7 @@ _FLAGS = {
 def instruction_flags(spark, sf_dir):
     phrase = F.element_at(F.array(*map(F.lit, _PHRASES)), (F.col("o_orderkey") % len(_PHRASES) + 1).cast("int"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", phrase.alias("phrase"))
-    return rows.select("*", *(F.col("phrase").rlike(p).alias(name) for name, p in _FLAGS.items()), F.regexp_extract("phrase", text.META, 0).alias("meta_phrase"))
+    return rows.select("*", *(text.matches(F.col("phrase"), p).alias(name) for name, p in _FLAGS.items()), F.regexp_extract("phrase", text.ascii_pattern(text.META), 0).alias("meta_phrase"))
 
 
 @book.query(f"""SELECT doc_id, regexp_matches(text, {_quoted(text.DIRECTIVE)}) AS directive, regexp_matches(text, {_quoted(text.NEGATION)}) AS negation,
@@ -139,7 +139,7 @@ def instruction_flags(spark, sf_dir):
 def phrase_rules(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", t.rlike(text.DIRECTIVE).alias("directive"), t.rlike(text.NEGATION).alias("negation"),
+        "doc_id", text.matches(t, text.DIRECTIVE).alias("directive"), text.matches(t, text.NEGATION).alias("negation"),
         text.balanced_quotes(t).alias("balanced"), F.regexp_count(t, F.lit(text.SENTENCE)).cast("long").alias("n_sentences"),
     )
 

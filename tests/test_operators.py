@@ -257,6 +257,16 @@ def test_fixed_patterns(spark):
         assert [r[0] for r in df.select(F.col("t").rlike(pattern)).collect()] == [True] * len(hits) + [False] * len(misses), pattern
 
 
+def test_patterns_match_as_in_sql(spark):
+    import duckdb
+
+    texts = ["éno x", "nó", "não", "ſtop timer", "looK up", "look\x0bup", "marK", "every ſ", "every\fday", "İ not ıs", "xſ not", "don’té", "do\x0bnot", "teſt set", "aſk me", "why\rso?", "is it\x85so?"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (text.DIRECTIVE, text.NEGATION, text.META, text.QUESTION):
+        got = [r[0] for r in df.select(text.matches(F.col("t"), pattern)).collect()]
+        assert got == [duckdb.execute("SELECT regexp_matches(?, ?)", [t, pattern]).fetchone()[0] for t in texts], pattern
+
+
 def test_oldest_open_item_by_brute_force(spark):
     rng = random.Random(5)
     items = []
