@@ -14,6 +14,8 @@ from millrace.streaming.running import read_files, to_the_end
 
 OUTPUT = "session_id long, n_events long, start_us long, end_us long"
 Burst = tuple[int, int, int]
+#: Fixed value: a window of the state is as wide as so many gaps, and so has at most so many bursts.
+WINDOW = 1024
 
 
 def partial_bursts(times: np.ndarray, gap_us: int) -> list[Burst]:
@@ -39,8 +41,9 @@ def merged(one: list[Burst], other: list[Burst], gap_us: int) -> list[Burst]:
 class Bursts(StatefulProcessor):
     """Holds a session's bursts that an event yet to come may stretch or join, and no times.
 
-    Each Arrow batch of a micro-batch is folded into partial bursts by itself. A burst is closed by a timer, once the
-    watermark is ``gap_us`` beyond its end.
+    Each Arrow batch of a micro-batch is folded into partial bursts by itself. Bursts lie in the state by windows of time, some
+    ``WINDOW`` to an entry, as their starts are a gap apart, so a call writes the few windows that it changed. A session has one timer, at the first end of
+    a burst that it holds: it closes all that the watermark is ``gap_us`` beyond, and is set anew for the next.
     """
 
     def __init__(self, gap_us: int) -> None:
@@ -48,29 +51,48 @@ class Bursts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start_us long", "n long, end_us long")
-
-    def _held(self) -> list[Burst]:
-        return [(n, start, end) for (start,), (n, end) in self.open.iterator()]
+        self.open = handle.getMapState("open", "window long", "n array<long>, start_us array<long>, end_us array<long>")
+
+    def _held(self) -> dict[int, list[Burst]]:
+        return {window: list(zip(*lists, strict=True)) for (window,), lists in self.open.iterator()}
+
+    def _hold(self, bursts: list[Burst], before: dict[int, list[Burst]]) -> None:
+        """Write those windows of ``bursts`` that differ from ``before``."""
+        now: dict[int, list[Burst]] = {}
+        for burst in bursts:
+            now.setdefault(burst[1] // (WINDOW * max(1, self.gap_us)), []).append(burst)
+        for window in before.keys() - now.keys():
+            self.open.removeKey((window,))
+        for window, held in now.items():
+            if held != before.get(window):
+                self.open.updateValue((window,), tuple(map(list, zip(*held, strict=True))))
+
+    def _wake(self, bursts: list[Burst]) -> int | None:
+        """When the first of ``bursts`` may be closed, in milliseconds."""
+        return min((-(-(end + self.gap_us) // 1000) for _, _, end in bursts), default=None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = before = self._held()
+        before = self._held()
+        held = was = [b for window in before.values() for b in window]
         for batch in rows:
             times = batch["at_us"].dropna().to_numpy(np.int64)
             if len(times):
                 held = merged(held, partial_bursts(times, self.gap_us), self.gap_us)
-        for n, start, end in set(before) - set(held):
-            self.open.removeKey((start,))
-        for n, start, end in set(held) - set(before):
-            self.open.updateValue((start,), (n, end))
-            self.handle.registerTimer(-(-(end + self.gap_us) // 1000))
+        self._hold(held, before)
+        wake, set_for = self._wake(held), self._wake(was)
+        if wake is not None and (set_for is None or wake < set_for):  # a timer that is too early sets the next
+            self.handle.registerTimer(wake)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        closed = [b for b in self._held() if b[2] + self.gap_us <= upto]
-        for _, start, _ in closed:
-            self.open.removeKey((start,))
+        before = self._held()
+        held = [b for window in before.values() for b in window]
+        closed = [b for b in held if b[2] + self.gap_us <= upto]
+        left = [b for b in held if b[2] + self.gap_us > upto]
+        self._hold(left, before)
+        if left:
+            self.handle.registerTimer(self._wake(left))
         if closed:
             yield pd.DataFrame([(key[0], *b) for b in closed], columns=[p.split()[0] for p in OUTPUT.split(", ")])
 

@@ -48,6 +48,53 @@ def test_bursts_merge_in_any_order():
     assert held == want
 
 
+class Handle:
+    """A session's state and timers in memory, counting what is written."""
+
+    def __init__(self):
+        self.values, self.timers, self.writes, self.now = {}, set(), 0, 0
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self
+
+    def iterator(self):
+        return iter(list(self.values.items()))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.values[key], self.writes = value, self.writes + 1
+
+    def removeKey(self, key):  # noqa: N802
+        del self.values[key]
+        self.writes += 1
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.writes += 1
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_a_session_of_many_bursts_takes_few_writes_and_one_timer():
+    rng = random.Random(4)
+    gap, handle = 5_000, Handle()
+    times = sorted(rng.randrange(10_000_000) for _ in range(900))
+    session = bursts.Bursts(gap)
+    session.init(handle)
+    frame = lambda part: iter([bursts.pd.DataFrame({"at_us": part})])
+    assert list(session.handleInputRows((7,), frame(times[:600]), handle)) == []
+    assert handle.writes <= 4 and len(handle.timers) == 1
+    got = []
+    for now, part in ((times[600] // 1000, times[600:]), (20_000, [])):
+        handle.now = now
+        while due := sorted(t for t in handle.timers if t <= now):
+            handle.timers.remove(due[0])
+            got += [tuple(row) for out in session.handleExpiredTimer((7,), handle, None) for row in out.itertuples(index=False)]
+        assert list(session.handleInputRows((7,), frame(part), handle)) == []
+    assert got == [(7, *b) for b in bursts.partial_bursts(bursts.np.array(times), gap)] and len(got) > 200
+    assert not handle.values and not handle.timers and handle.writes < 20
+
+
 def plain_ledger(rows, last, cap):
     """Commands (session, at, seq, kind, name, amount, names) handled in order, time going on to ``last``."""
     out = []
