@@ -3,6 +3,7 @@
 A packet is a folder of ``manifest/`` (JSON lines, one for each stream), ``segments/stream=<name>/segment=<number>/`` with one file
 of LF-ended event lines each, and ``sidecars/`` (JSON lines, one for each decision). Files are opened by Spark's binary reader, one
 row a file, so a packet of any number of files is dealt over the tasks, and a folder on any store that Spark reads will do.
+Segments may also lie packed: ``packed/`` holds the bytes of one as a row of Parquet, for packets of so many small segments that a file of each is too dear.
 """
 
 from __future__ import annotations
@@ -16,14 +17,18 @@ MANIFEST = "stream string, n_events long, n_decisions long, segments array<struc
 SIDECAR = "stream string, call_index long, observed_seq long, action string"
 
 
-def write_packet(events: DataFrame, decisions: DataFrame, path: str) -> None:
+def write_packet(events: DataFrame, decisions: DataFrame, path: str, packed: bool = False) -> None:
     """Write ``events(stream, segment, seq, line)`` and ``decisions(stream, call_index, observed_seq, action)`` as a packet.
 
-    A segment is one file, and is written by one task in the order of ``seq``; its digest, like a sidecar's, is that of its lines, each ended by LF.
+    A segment is one file, or if ``packed`` one row, and is written by one task in the order of ``seq``; its digest, like a sidecar's, is that of its
+    lines, each ended by LF.
     """
-    ordered = events.repartition("stream", "segment").sortWithinPartitions("stream", "segment", "seq")
-    ordered.select("stream", "segment", F.col("line").alias("value")).write.partitionBy("stream", "segment").text(f"{path}/segments")
     joined = lambda order, line: F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n"), F.lit("\n"))
+    if packed:
+        events.groupBy("stream", "segment").agg(joined("seq", "line").cast("binary").alias("content")).write.parquet(f"{path}/packed")
+    else:
+        ordered = events.repartition("stream", "segment").sortWithinPartitions("stream", "segment", "seq")
+        ordered.select("stream", "segment", F.col("line").alias("value")).write.partitionBy("stream", "segment").text(f"{path}/segments")
     segments = events.groupBy("stream", "segment").agg(F.sha2(joined("seq", "line"), 256).alias("sha256"), F.count(F.lit(1)).alias("n"))
     by_stream = segments.groupBy("stream").agg(F.array_sort(F.collect_list(F.struct(F.col("segment").cast("int").alias("segment"), "sha256"))).alias("segments"), F.sum("n").alias("n_events"))
     told = decisions.withColumn("_line", F.to_json(F.struct(*(c.split()[0] for c in SIDECAR.split(", ")))))
@@ -42,8 +47,12 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
-    """``stream, segment, path, content, sha256`` of the segment files; ``wanted``, over stream and segment, prunes files before any is opened."""
-    files = spark.read.format("binaryFile").load(f"{path}/segments").withColumn("stream", F.col("stream").cast("string"))
+    """``stream, segment, path, content, sha256`` of the segments, in files or packed; ``wanted``, over stream and segment, prunes before any is opened."""
+    packed = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/packed")
+    if packed.getFileSystem(spark._jsc.hadoopConfiguration()).exists(packed):
+        files = spark.read.parquet(f"{path}/packed").withColumn("path", F.col("_metadata.file_path"))
+    else:
+        files = spark.read.format("binaryFile").load(f"{path}/segments").withColumn("stream", F.col("stream").cast("string"))
     files = files if wanted is None else files.where(wanted)
     return files.select("stream", F.col("segment").cast("int").alias("segment"), "path", "content", F.sha2("content", 256).alias("sha256"))
 

@@ -68,3 +68,32 @@ def test_sums_that_do_not_hold(spark, packet):
 
     more.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{path}/sidecars")
     assert problems(P.load(spark, path)[2]) == [("s0", None, "changed"), ("s9", None, "unlisted")]
+
+
+def test_packed_segments_hold_the_bytes_of_the_files(spark, packet, tmp_path):
+    path, events, decisions = packet
+    other = str(tmp_path / "packed")
+    P.write_packet(
+        spark.createDataFrame(events, "stream string, segment int, seq long, line string").repartition(5),
+        spark.createDataFrame(decisions, P.SIDECAR), other, packed=True,
+    )
+    of = lambda p: sorted((r["stream"], r["segment"], bytes(r["content"]), r["sha256"]) for r in P.read_segments(spark, p).collect())
+    assert of(other) == of(path) and len(of(other)) == 12
+    assert len(glob.glob(f"{other}/**/part-*", recursive=True)) < 30 and not glob.glob(f"{other}/segments")
+    found, told, bad = P.load(spark, other, ["s0", "s3"])
+    assert [(r["stream"], r["segment"], r["line"]) for r in found.orderBy("stream", "segment", "position").collect()] == [(s, g, line) for s, g, _, line in events if s in ("s0", "s3")]
+    assert told.count() == 3 and problems(bad) == []
+
+
+def test_a_packed_segment_changed_or_lost_is_named(spark, packet, tmp_path):
+    from pyspark.sql import functions as F
+
+    path, events, decisions = packet
+    other = str(tmp_path / "packed")
+    P.write_packet(spark.createDataFrame(events, "stream string, segment int, seq long, line string"), spark.createDataFrame(decisions, P.SIDECAR), other, packed=True)
+    rows = spark.createDataFrame(spark.read.parquet(f"{other}/packed").collect(), "stream string, segment int, content binary")
+    at = lambda s, n: (F.col("stream") == s) & (F.col("segment") == n)
+    changed = F.when(at("s1", 1), F.concat("content", F.lit("!").cast("binary"))).otherwise(F.col("content"))
+    rows.where(~at("s2", 2)).withColumn("content", changed).write.mode("overwrite").parquet(f"{other}/packed")
+    found, _, bad = P.load(spark, other)
+    assert problems(bad) == [("s1", 1, "changed"), ("s2", 2, "missing")] and found.count() == 40 - 4 - 2
