@@ -42,3 +42,16 @@ def test_judged_actions_change_nothing_in_the_log(spark):
     facts = ["floor_owned", "latest_snapshot", "oldest_failed", "n_active_timers", "timer_active", "is_repeat", "earlier_span", "earlier_mark"]
     as_log, as_judged = (sorted(map(str, v.select("session_id", "seq", "type", *facts).collect())) for v in (R.view(log), R.view(log, judged=own)))
     assert as_log == as_judged
+
+
+def test_what_was_seen_is_found_once_for_all_kinds(spark):
+    plan = C.synthetic(policy_log(spark, SF_DIR))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Relation" not in plan
+
+
+def test_winners_judge_all_actions_in_one_view(spark, monkeypatch):
+    views = []
+    view = R.view
+    monkeypatch.setattr(R, "view", lambda *args, **named: views.append(1) or view(*args, **named))
+    C.winners(policy_log(spark, SF_DIR))
+    assert len(views) == 1
